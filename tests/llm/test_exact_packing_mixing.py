@@ -1,0 +1,139 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.mixing import mix_documents, mix_sources, mixed_counts
+from strandline.llm.packing import ByteBpe, pack_power_of_two, piece_lengths, safe_parts
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+OWN = Tokenizer.from_file(PATH)
+OWN.encode_special_tokens = True
+QUICK = ByteBpe(PATH)
+
+
+# --- exact dedup -----------------------------------------------------------
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(spark, docs, tmp_path, weak):
+    rows = [(5, "a"), (9, "a"), (9, "a"), (2, "b"), (3, None), (4, ""), (None, "b"), (8, "A"), (1, "ab" * 50000), (11, "ab" * 50000), (6, "c ")]
+    docs(rows).withColumn("keep", F.lit(1)).withColumn("digest", F.lit("x")).repartition(4).write.parquet(str(tmp_path / "d"))
+    how = {"digest": lambda t: F.crc32(F.length(t).cast("string"))} if weak else {}
+    got = exact_dedup(spark, str(tmp_path / "d"), max_files=1, broadcast_hits=0 if weak else 10, **how).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    want = Counter((i, max(x for x in groups[t or ""] if x is not None), len(groups[t or ""])) for i, t in rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want
+    assert Counter(r.keep_id for r in got if r.kept) == Counter(max(x for x in g if x is not None) for g in groups.values())
+
+
+def test_exact_dedup_empty(spark, docs, tmp_path):
+    docs([]).write.parquet(str(tmp_path / "d"))
+    assert exact_dedup(spark, str(tmp_path / "d")).count() == 0
+
+
+# --- packing ---------------------------------------------------------------
+TEXTS = st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,!<|>endoftxs09éß一²\U0001f600́  "), st.characters(codec="utf-8")), max_size=60)
+
+
+@given(TEXTS)
+@settings(max_examples=300, deadline=None)
+def test_ids_are_the_librarys(text):
+    assert QUICK.quick is not None
+    want = OWN.encode(text, add_special_tokens=False).ids
+    assert QUICK.encode(text).tolist() == want
+    assert [i for p in safe_parts(text, 7) for i in OWN.encode(p, add_special_tokens=False).ids] == want
+
+
+def test_odd_long_texts():
+    for text in (" " * 300000, "a" * 200000, "\n \n" * 50000 + "x y " * 50000, "<|endoftext|>"):
+        assert QUICK.encode(text).tolist() == OWN.encode(text, add_special_tokens=False).ids
+
+
+def test_piece_lengths():
+    for n in range(5000):
+        parts = piece_lengths(n)
+        assert sum(parts) == n and all(p & (p - 1) == 0 and p <= 2048 for p in parts)
+
+
+def test_round_trip(spark, docs):
+    rows = [(1, "The quick brown fox. " * 900), (2, ""), (3, None), (4, "x"), (4, "x"), (None, "hello there")]
+    got = pack_power_of_two(docs(rows).withColumn("ids", F.lit(1)), PATH).collect()
+    assert len({r.sequence_id for r in got}) == len(got)
+    assert all(r.length == 1 << r.bucket and len(r.ids) == 4 * r.length and r.offset == 0 for r in got)
+    seen = Counter()
+    for key in {(r.doc_id, r.doc_tokens) for r in got}:
+        parts = sorted((r.start, r.ids) for r in got if (r.doc_id, r.doc_tokens) == key)
+        copies = Counter(s for s, _ in parts)[0]
+        seen[(key[0], b"".join(b for _, b in parts[::copies]))] += copies
+    want = Counter((i, np.array(OWN.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, t in rows)
+    assert seen == want
+    assert pack_power_of_two(docs([]), PATH).count() == 0
+    with pytest.raises(ValueError):
+        pack_power_of_two(docs([]), PATH, max_tokens=100)
+
+
+# --- mixing ----------------------------------------------------------------
+def plain_targets(sizes):
+    names = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, total = {}, sum(sizes.values())
+    left = set(names)
+    while left:
+        room = total - sum(target.values())
+        new = {s: room * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if new[s] > 3 * sizes[s]}
+        if not over:
+            target |= new
+            break
+        target |= {s: 3.0 * sizes[s] for s in over}
+        left -= over
+    return target
+
+
+def test_mixing(spark, docs):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40, 300])) if rng.random() > 0.02 else None, "en", rng.choice(["a", "a", "a", "a", "b", "c", "B", "", None, "é"])) for i in range(1500)]
+    rows += [(3000, "one two", "en", "tiny"), (3001, "x y z", "en", "a"), (3001, "x y z", "en", "a"), (None, "q", "en", "a"), (3002, "", "en", "none"), (3003, "z " * 20000, "en", "big")]
+    table = docs(rows).withColumn("size", F.lit(1)).withColumn("target", F.lit(1))
+    got = mixed_counts(table).collect()
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len((t or "").split())
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len((t or "").split())) for i, t, _, _ in rows)
+    want, taken = plain_targets(sizes), Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source])
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 0.5
+    assert sorted(map(str, mixed_counts(table.repartition(7)).collect())) == sorted(map(str, got))
+    _, pieces = mix_sources(table)
+    rows_ = pieces.select("slot", "source", "block").distinct().collect()
+    assert len({r.slot for r in rows_}) == len(rows_)
+    half = sorted((r.slot, r.source) for r in rows_)[: len(rows_) // 2]
+    shares, whole = Counter(s for _, s in half), Counter(r.source for r in rows_)
+    assert all(abs(shares[s] - whole[s] / 2) < 12 for s in whole)
+    mixed = mix_documents(table)
+    assert mixed.columns == table.columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len((r.text or "").split())
+    longest = defaultdict(int)
+    for _, t, _, s in rows:
+        longest[s] = max(longest[s], len((t or "").split()))
+    assert all(abs(words[s] - want[s]) <= longest[s] + 6 for s in sizes)
+
+
+def test_mixing_empty(spark, docs):
+    assert mixed_counts(docs([])).count() == 0
+    assert mixed_counts(docs([(1, ""), (2, None)])).select("taken", "target").distinct().collect() == [(0, 0.0)]
