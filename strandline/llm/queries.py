@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.hmm_lm import train_and_score
+from strandline.llm.kneser_ney import score_quality
+from strandline.llm.line_dedup import line_report
 from strandline.llm.mixing import mixed_counts
 from strandline.llm.packing import pack_power_of_two
+from strandline.llm.pii import KINDS, find_pii
 from strandline.llm.simhash import simhash_groups
+from strandline.llm.toxicity import remainder, score, train
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,11 +25,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), remainder(F.col("doc_id"), 5) == 0
+    weights, bias = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), allowed=~held_out)
+    rows = score(docs, weights, bias)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending", "worst_start", "worst_end")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_power_of_two(documents(spark, sf_dir), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -34,13 +50,28 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trains = remainder(F.col("doc_id"), 7) != 2
+    rows = train_and_score(documents(spark, sf_dir), trains)
+    return rows.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_pii(documents(spark, sf_dir))
+    return rows.select("doc_id", *[F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op5_packing, op6_mixing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_simhash_near_dedup, op4_toxicity, op5_packing, op6_mixing, op7_lm_scoring, op8_pii, op9_exact_dedup, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
