@@ -16,6 +16,7 @@ from strandline.llm.mixing import mixed_counts
 from strandline.llm.packing import pack_power_of_two
 from strandline.llm.pii import KINDS, find_pii
 from strandline.llm.simhash import simhash_groups
+from strandline.llm.topk import exact_top_k
 from strandline.llm.toxicity import remainder, score, train
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +30,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,11 +76,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_simhash_near_dedup, op4_toxicity, op5_packing, op6_mixing, op7_lm_scoring, op8_pii, op9_exact_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_simhash_near_dedup, op4_toxicity, op5_packing, op6_mixing, op7_lm_scoring, op8_pii, op9_exact_dedup, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_exact_top_k": """
+            WITH v AS (SELECT vec_id, max(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+                       FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                       AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+            p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+                  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+            SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM p
+            QUALIFY row_number() OVER w <= 20 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)""",
         "op9_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
