@@ -201,7 +201,7 @@ def test_hmm_batches(spark):
 
     kept, decoded = (hmm.rectify(rows(n)).filter("seq = 9").first().rectified for n in (19, 20))
     assert (kept, decoded) == ("DRIVE", "STILL")
-    b = hmm.with_batches(stream(spark, [(i, "STILL") for i in range(125)] + [(305, "WALK"), (485.001, "WALK")])).groupBy("batch").count().orderBy("batch").collect()
+    b = hmm.with_batches(stream(spark, [(i, "STILL") for i in range(125)] + [(304, "WALK"), (484.001, "WALK")])).groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in b] == [60, 60, 6, 1]
 
 
