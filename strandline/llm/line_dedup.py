@@ -14,11 +14,14 @@ within it; the minimum is aggregated map-side. The words of line and earliest
 line are then compared.
 
 Emitting variants for every line of a large corpus would multiply it. A pair
-one edit apart also shares its first or its last half, counted for the longer
-of the two. So the hashes of both halves are grouped first, and variants are
-emitted only for lines that share a half, and only for words of the other half.
-
-DataFrame functions only. Texts are shuffled once, by doc_id.
+one edit apart also shares as many first or last words as half the shorter line
+has. So lengths are put into classes, the first and the last words of a line, as
+many as half the least length of its class, are hashed, and the hashes grouped;
+the shortest lines of a class take part in the class below too. Variants are
+emitted only for lines that share such a half with a line of the same length or
+of one word more or less, and only for words outside that half.
+
+DataFrame functions only. Texts are shuffled once, line by line.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ WRAP_WORDS = 256
 def line_units(docs: DataFrame, wrap: int = WRAP_WORDS) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, line, part, words, n)``, blank lines left out."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    words = F.filter(F.split(F.lower("raw"), r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower("raw"), r"\s+"), "")
     lines = lines.select("doc_id", "line", words.alias("all")).filter(F.size("all") > 0)
     parts = F.when(F.size("all") <= wrap, F.array("all")).otherwise(F.transform(F.sequence(F.lit(0), F.expr(f"int((size(all) - 1) div {wrap})")), lambda k: F.slice("all", k * wrap + 1, F.lit(wrap))))
     units = lines.select("doc_id", "line", F.posexplode(parts).alias("part", "words"))
@@ -48,16 +51,21 @@ def _keys(words: Column | str) -> list[Column]:
     return [F.xxhash64(words).alias("h1"), F.hash(words).alias("h2")]
 
 
-def _halves(n: Column) -> Column:
-    """[first, last half] for a pair whose longer line has n words, then for n + 1."""
+#: Width of a class of lengths n; each class begins at a multiple of its width.
+_WIDTH = "case when n < 16 then 2 when n < 32 then 4 when n < 64 then 8 when n < 128 then 16 else 32 end"
+#: Least length of the class of n words, and of the class below if n is the least of its own.
+_LOW, _BELOW = f"(n - n % ({_WIDTH}))", f"(n - 1 - (n - 1) % ({_WIDTH.replace('n <', 'n - 1 <')}))"
+
+
+def _halves() -> Column:
+    """[first, last half] in a line's own class, then in the class below or null."""
 
-    def of(c: Column) -> list[Column]:
-        a = F.floor((c - 1) / 2).cast("int")
-        b = c - 1 - a
-        pair = [F.xxhash64(c, F.lit("first"), F.slice("words", F.lit(1), a)), F.xxhash64(c, F.lit("last"), F.slice("words", n - b + 1, b))]
-        return [F.when(c >= MIN_WORDS, x) for x in pair]
+    def of(low: str) -> list[Column]:
+        low, half = F.expr(low), F.expr(f"int({low} div 2)")
+        return [F.xxhash64(low, F.lit("first"), F.slice("words", F.lit(1), half)), F.xxhash64(low, F.lit("last"), F.slice("words", F.col("n") - half + 1, half))]
 
-    return F.array(*of(n), *of(n + 1))
+    below = F.expr(f"n >= {MIN_WORDS} and {_BELOW} < {_LOW}")
+    return F.array(*of(_LOW), *[F.when(below, x) for x in of(_BELOW)])
 
 
 def one_edit(a: str, b: str) -> Column:
@@ -74,25 +82,30 @@ def _position() -> Column:
 
 def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch, wrap: int) -> DataFrame:
     """Distinct lines -> ``(h1, h2, witness)``: an earlier line at most one edit away."""
-    halves = distinct.select("h1", "h2", "first", F.posexplode("halves").alias("which", "half")).filter("half is not null")
-    full = F.count(F.when(F.col("which") < 2, 1))
-    shared = halves.groupBy("half").agg((full >= 2).alias("replaced"), ((full >= 1) & (F.count("*") > full)).alias("moved")).filter("replaced or moved")
+    halves = distinct.select(F.col("first").alias("at"), "n", F.posexplode("halves").alias("which", "half")).filter("half is not null")
+    # A place for each length of the class, and one for the next length.
+    guest = F.col("which") >= 2
+    halves = halves.select("at", "half", "which", "n", (F.col("n") - F.when(guest, F.expr(_BELOW)).otherwise(F.expr(_LOW))).cast("int").alias("place"))
+    mark = F.expr("shiftleft(1L, place)")
+    plain = ~guest & (F.col("n") >= MIN_WORDS)
+    counted = halves.groupBy("half").agg(F.count_if(plain).alias("plain"), F.bit_or(F.when(plain, mark).otherwise(0)).alias("lengths"), F.bit_or(mark).alias("marks"))
+    shared = counted.select("half", (F.col("plain") > F.bit_count("lengths")).alias("replaced"), "marks").filter("replaced or (marks & shiftright(marks, 1)) <> 0")
     shared = scratch.save(shared, "shared-halves")
-    # Bits 0-1: replace a word of the last, first half; 2-3: leave one out; 4: this is the shorter line.
-    bit = F.expr("case when which >= 2 then if(moved, 16, 0) else (if(replaced, 1, 0) + if(moved, 4, 0)) * if(which = 0, 1, 2) end")
-    wanted = halves.join(shared, "half").withColumn("bit", bit).filter("bit > 0").groupBy("h1", "h2", "first").agg(F.bit_or("bit").alias("bits"))
-    by_doc = wanted.groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_list(F.struct("first.line", "first.part", "h1", "h2", "bits")).alias("wanted"))
-    texts = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "wanted")
-    units = line_units(texts.select(F.struct("doc_id", F.col("wanted").alias("w")).alias("doc_id"), "text"), wrap)
-    units = units.select(F.col("doc_id.doc_id").alias("doc_id"), "line", "part", "words", "n", F.get(F.filter("doc_id.w", lambda x: (x["line"] == F.col("line")) & (x["part"] == F.col("part"))), F.lit(0)).alias("w"))
-    units = units.filter("w is not null").filter(F.xxhash64("words") == F.col("w.h1"))
-    lines = scratch.save(units.select(_position().alias("at"), "words", "n", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), F.col("w.bits").alias("bits")), "lines-with-shared-halves")
+    # Bits 0-1: replace a word after the first half, before the last; 2-3: leave one out; 4: this is the shorter line.
+    bit = F.expr(
+        f"(if(replaced and which < 2 and n >= {MIN_WORDS}, 1, 0) + if(place > 0 and n >= {MIN_WORDS} and (shiftright(marks, place - 1) & 1) = 1, 4, 0)) * if(which % 2 = 0, 1, 2)"
+        " + if(which < 2 and (shiftright(marks, place + 1) & 1) = 1, 16, 0)"
+    )
+    wanted = halves.join(shared, "half").select("at", bit.alias("bit")).filter("bit > 0").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    units = line_units(docs, wrap).filter(F.col("n") >= MIN_WORDS - 1).select(_position().alias("at"), "n", F.array_join("words", " ").alias("line_text"))
+    lines = units.join(wanted, "at").select("at", "n", F.split("line_text", " ").alias("words"), "bits")
+    lines = scratch.save(lines.select("at", "words", "n", *_keys("words"), "bits").distinct(), "lines-with-shared-halves")
 
     def left_out(bits_first: int, bits_last: int) -> Column:
         """Places of the last half, or of the first, or of both."""
-        a = F.expr("int((n - 1) div 2)")
-        low = F.when(F.col("bits").bitwiseAND(bits_last) > 0, F.lit(1)).otherwise(a + 1)
-        high = F.when(F.col("bits").bitwiseAND(bits_first) > 0, F.col("n")).otherwise(F.col("n") - (F.col("n") - 1 - a))
+        half = F.expr(f"int({_BELOW} div 2)")
+        low = F.when(F.col("bits").bitwiseAND(bits_last) > 0, F.lit(1)).otherwise(half + 1)
+        high = F.when(F.col("bits").bitwiseAND(bits_first) > 0, F.col("n")).otherwise(F.col("n") - half)
         return F.when(F.col("bits").bitwiseAND(bits_first + bits_last) > 0, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
     rest = lambda i: F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.col("n")))
@@ -128,13 +141,13 @@ def duplicate_lines(docs: DataFrame, *, wrap: int = WRAP_WORDS, min_words: int =
     scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.select("doc_id", "text")
     units = line_units(docs, wrap).filter(F.col("n") >= min_words - 1)
-    keyed = units.select(_position().alias("at"), "n", *_keys("words"), _halves(F.col("n")).alias("halves"))
-    distinct = keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
+    keyed = units.select(_position().alias("at"), "n", *_keys("words"), _halves().alias("halves"))
+    distinct = keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
     distinct = scratch.save(distinct, "distinct-lines")
     near = scratch.save(_near(docs, distinct, scratch, wrap), "near-lines")
-    exact = distinct.filter(F.col("n") >= min_words).select("h1", "h2", "first", "last")
+    exact = distinct.filter(F.col("n") >= min_words).select("h1", "h2", "first", "lines")
     # A line of one word less can show that a longer one is near, but stays itself.
-    decided = exact.join(near, ["h1", "h2"], "left").filter("witness is not null or first <> last").select("h1", "h2", "first", "witness")
+    decided = exact.join(near, ["h1", "h2"], "left").withColumn("witness", F.expr("if(witness < first, witness, null)")).filter("witness is not null or lines > 1").select("h1", "h2", "first", "witness")
     places = units.filter(F.col("n") >= min_words).select(_position().alias("at"), *_keys("words"))
     dropped = places.join(decided, ["h1", "h2"]).filter("witness is not null or at <> first").select("at", F.col("witness").isNotNull().alias("near"), F.coalesce("witness", "first").alias("keep")).distinct()
     return dropped.select("at.doc_id", "at.line", "at.part", "near", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"), F.col("keep.part").alias("keep_part"))
