@@ -37,13 +37,19 @@ WRAP_WORDS = 256
 
 
 def line_units(docs: DataFrame, wrap: int = WRAP_WORDS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, line, part, words, n)``, blank lines left out."""
+    """``docs(doc_id, text)`` -> ``(doc_id, line, part, words, n)``: n words in lower case, with single spaces; blank lines have none."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    words = F.array_remove(F.split(F.lower("raw"), r"\s+"), "")
-    lines = lines.select("doc_id", "line", words.alias("all")).filter(F.size("all") > 0)
-    parts = F.when(F.size("all") <= wrap, F.array("all")).otherwise(F.transform(F.sequence(F.lit(0), F.expr(f"int((size(all) - 1) div {wrap})")), lambda k: F.slice("all", k * wrap + 1, F.lit(wrap))))
-    units = lines.select("doc_id", "line", F.posexplode(parts).alias("part", "words"))
-    return units.withColumn("n", F.size("words"))
+    spaced = F.lit(False)
+    for odd in ("  ", "\t", "\r", "\x0b", "\f"):
+        spaced = spaced | F.contains("raw", F.lit(odd))
+    single = F.trim(F.lower(F.when(spaced, F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw"))))
+    lines = lines.select("doc_id", "line", single.alias("whole"))
+    count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+    n = count("whole")
+    # The outer transform names the words, so that they are parted once.
+    parts = F.transform(F.array(F.split("whole", " ")), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / wrap).cast("int")), lambda k: F.array_join(F.slice(w, k * wrap + 1, F.lit(wrap)), " ")))
+    units = lines.select("doc_id", "line", F.posexplode(F.when(n <= wrap, F.array("whole")).otherwise(parts[0])).alias("part", "words"))
+    return units.withColumn("n", count("words"))
 
 
 def _keys(words: Column | str) -> list[Column]:
@@ -62,7 +68,7 @@ def _halves() -> Column:
 
     def of(low: str) -> list[Column]:
         low, half = F.expr(low), F.expr(f"int({low} div 2)")
-        return [F.xxhash64(low, F.lit("first"), F.slice("words", F.lit(1), half)), F.xxhash64(low, F.lit("last"), F.slice("words", F.col("n") - half + 1, half))]
+        return [F.xxhash64(low, F.lit("first"), F.call_function("substring_index", "words", F.lit(" "), half)), F.xxhash64(low, F.lit("last"), F.call_function("substring_index", "words", F.lit(" "), -half))]
 
     below = F.expr(f"n >= {MIN_WORDS} and {_BELOW} < {_LOW}")
     return F.array(*of(_LOW), *[F.when(below, x) for x in of(_BELOW)])
@@ -90,16 +96,15 @@ def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch, wrap: int) ->
     plain = ~guest & (F.col("n") >= MIN_WORDS)
     counted = halves.groupBy("half").agg(F.count_if(plain).alias("plain"), F.bit_or(F.when(plain, mark).otherwise(0)).alias("lengths"), F.bit_or(mark).alias("marks"))
     shared = counted.select("half", (F.col("plain") > F.bit_count("lengths")).alias("replaced"), "marks").filter("replaced or (marks & shiftright(marks, 1)) <> 0")
-    shared = scratch.save(shared, "shared-halves")
     # Bits 0-1: replace a word after the first half, before the last; 2-3: leave one out; 4: this is the shorter line.
     bit = F.expr(
         f"(if(replaced and which < 2 and n >= {MIN_WORDS}, 1, 0) + if(place > 0 and n >= {MIN_WORDS} and (shiftright(marks, place - 1) & 1) = 1, 4, 0)) * if(which % 2 = 0, 1, 2)"
         " + if(which < 2 and (shiftright(marks, place + 1) & 1) = 1, 16, 0)"
     )
     wanted = halves.join(shared, "half").select("at", bit.alias("bit")).filter("bit > 0").groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    units = line_units(docs, wrap).filter(F.col("n") >= MIN_WORDS - 1).select(_position().alias("at"), "n", F.array_join("words", " ").alias("line_text"))
-    lines = units.join(wanted, "at").select("at", "n", F.split("line_text", " ").alias("words"), "bits")
-    lines = scratch.save(lines.select("at", "words", "n", *_keys("words"), "bits").distinct(), "lines-with-shared-halves")
+    units = line_units(docs, wrap).filter(F.col("n") >= MIN_WORDS - 1).select(_position().alias("at"), "n", "words")
+    lines = units.join(wanted, "at").select("at", "words", "n", *_keys("words"), "bits")
+    lines = scratch.save(lines.distinct(), "lines-with-shared-halves")
 
     def left_out(bits_first: int, bits_last: int) -> Column:
         """Places of the last half, or of the first, or of both."""
@@ -108,19 +113,19 @@ def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch, wrap: int) ->
         high = F.when(F.col("bits").bitwiseAND(bits_first) > 0, F.col("n")).otherwise(F.col("n") - half)
         return F.when(F.col("bits").bitwiseAND(bits_first + bits_last) > 0, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-    rest = lambda i: F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.col("n")))
+    rest = lambda i: F.trim(F.concat_ws(" ", F.call_function("substring_index", "words", F.lit(" "), i - 1), F.call_function("substring_index", "words", F.lit(" "), i - F.col("n"))))
     replaced = F.transform(left_out(1, 2), lambda i: F.struct(F.xxhash64(F.lit("replaced"), i, rest(i)).alias("key"), F.lit(True).alias("full")))
     out = F.transform(left_out(4, 8), lambda i: F.struct(F.xxhash64(F.lit("out"), rest(i)).alias("key"), F.lit(True).alias("full")))
     itself = F.when(F.col("bits").bitwiseAND(16) > 0, F.array(F.struct(F.xxhash64(F.lit("out"), F.col("words")).alias("key"), F.lit(False).alias("full"))))
     variants = lines.select("at", "h1", "h2", F.explode(F.concat(replaced, out, F.coalesce(itself, F.array().cast("array<struct<key:bigint,full:boolean>>")))).alias("v")).select("at", "h1", "h2", "v.key", "v.full")
+    variants = scratch.save(variants, "variants")
     place = F.struct("at", "h1", "h2")
     groups = variants.groupBy("key").agg(F.min(F.when(F.col("full"), place)).alias("full_first"), F.min(F.when(~F.col("full"), place)).alias("short_first"), F.min(place).alias("a"), F.max(place).alias("b"), F.max(F.col("full").cast("int")).alias("some_full"), F.min(F.col("full").cast("int")).alias("all_full"))
     groups = groups.filter("a <> b and some_full = 1").select("key", "full_first", "short_first", "all_full")
     # Among replaced lines the earliest; between put in and left out, the earliest of the other kind.
     witness = F.when(F.col("all_full") == 1, F.col("full_first")).when(F.col("full"), F.col("short_first")).otherwise(F.col("full_first"))
     pairs = variants.join(groups, "key").select("at", "h1", "h2", witness.alias("witness")).filter("witness.at < at").distinct()
-    pairs = scratch.save(pairs, "pairs")
-    mine = lines.select("h1", "h2", F.col("words").alias("own")).dropDuplicates(["h1", "h2"])
+    mine = lines.select("h1", "h2", F.split("words", " ").alias("own")).dropDuplicates(["h1", "h2"])
     theirs = mine.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("own").alias("other"))
     checked = pairs.withColumn("g1", F.col("witness.h1")).withColumn("g2", F.col("witness.h2")).join(mine, ["h1", "h2"]).join(theirs, ["g1", "g2"]).filter(one_edit("own", "other"))
     return checked.groupBy("h1", "h2").agg(F.min("witness.at").alias("witness"))
@@ -142,13 +147,14 @@ def duplicate_lines(docs: DataFrame, *, wrap: int = WRAP_WORDS, min_words: int =
     docs = docs.select("doc_id", "text")
     units = line_units(docs, wrap).filter(F.col("n") >= min_words - 1)
     keyed = units.select(_position().alias("at"), "n", *_keys("words"), _halves().alias("halves"))
+    keyed = scratch.save(keyed, "keyed-lines")
     distinct = keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
     distinct = scratch.save(distinct, "distinct-lines")
-    near = scratch.save(_near(docs, distinct, scratch, wrap), "near-lines")
+    near = _near(docs, distinct, scratch, wrap)
     exact = distinct.filter(F.col("n") >= min_words).select("h1", "h2", "first", "lines")
     # A line of one word less can show that a longer one is near, but stays itself.
     decided = exact.join(near, ["h1", "h2"], "left").withColumn("witness", F.expr("if(witness < first, witness, null)")).filter("witness is not null or lines > 1").select("h1", "h2", "first", "witness")
-    places = units.filter(F.col("n") >= min_words).select(_position().alias("at"), *_keys("words"))
+    places = keyed.filter(F.col("n") >= min_words).select("at", "h1", "h2")
     dropped = places.join(decided, ["h1", "h2"]).filter("witness is not null or at <> first").select("at", F.col("witness").isNotNull().alias("near"), F.coalesce("witness", "first").alias("keep")).distinct()
     return dropped.select("at.doc_id", "at.line", "at.part", "near", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"), F.col("keep.part").alias("keep_part"))
 
