@@ -18,6 +18,8 @@ EMIT = ((0.70, 0.005, 0.005, 0.29), (0.20, 0.50, 0.10, 0.20), (0.20, 0.10, 0.50,
 MOVE = ((0.70, 0.14, 0.15, 0.01), (0.10, 0.49, 0.40, 0.01), (0.10, 0.40, 0.49, 0.01), (0.09, 0.01, 0.20, 0.70))
 MAX_GAP_S, MAX_STILL, MIN_BATCH = 180, 60, 20
 DRIVE_KM, DRIVE_VERIFY_MS = 1.0, 600_000
+#: Consecutive batches that one Arrow group holds, so that short ones do not cost a group each.
+BATCHES_IN_GROUP = 32
 
 
 def viterbi(observed: np.ndarray) -> np.ndarray:
@@ -48,21 +50,28 @@ def with_batches(df: DataFrame, *, max_gap_s: float = MAX_GAP_S, max_still: int
     return df.withColumn("batch", F.sum(F.col("_cut").cast("int")).over(order)).drop("_gap", "_run", "_cut")
 
 
-def corrected(pdf: pd.DataFrame, min_batch: int, drive_verify_ms: int, drive_km: float) -> pd.DataFrame:
-    """One batch; first false drives are taken back, then the path is decoded."""
-    pdf = pdf.sort_values(["_ms", "seq"])
-    modes = pdf["mode"].to_numpy(object).copy()
-    if len(pdf) >= min_batch:
-        t, lat, lng = (pdf[c].to_numpy() for c in ("_ms", "lat", "lng"))
-        located = ~np.isnan(lat.astype(float)) & ~np.isnan(lng.astype(float))
-        seen = modes.copy()
-        for i in np.flatnonzero(located & (seen == "DRIVE")):
-            near = np.flatnonzero(located & (np.abs(t - t[i]) < drive_verify_ms))
-            if np_distance(lat[i], lng[i], lat[near], lng[near], "km").max() < drive_km:
-                modes[i] = "WALK" if "WALK" in seen[near] else "STILL"
-        path = viterbi(np.array([STATES.index(m) for m in modes]))
-        modes = np.array([STATES[s] for s in path], object)
-    return pdf[["user_key", "seq", "ts", "lat", "lng"]].assign(mode=pdf["mode"], rectified=modes)
+def corrected(modes: np.ndarray, t: np.ndarray, lat: np.ndarray, lng: np.ndarray, drive_verify_ms: int, drive_km: float) -> np.ndarray:
+    """One batch in order; first false drives are taken back, then the path is decoded."""
+    seen, modes = modes, modes.copy()
+    located = ~np.isnan(lat) & ~np.isnan(lng)
+    for i in np.flatnonzero(located & (seen == "DRIVE")):
+        near = np.flatnonzero(located & (np.abs(t - t[i]) < drive_verify_ms))
+        if np_distance(lat[i], lng[i], lat[near], lng[near], "km").max() < drive_km:
+            modes[i] = "WALK" if "WALK" in seen[near] else "STILL"
+    path = viterbi(np.array([STATES.index(m) for m in modes]))
+    return np.array([STATES[s] for s in path], object)
+
+
+def corrected_batches(pdf: pd.DataFrame, min_batch: int, drive_verify_ms: int, drive_km: float) -> pd.DataFrame:
+    """Some batches of one user; those under ``min_batch`` records stay as they are."""
+    pdf = pdf.sort_values(["batch", "_ms", "seq"])
+    modes, t, batch = pdf["mode"].to_numpy(object), pdf["_ms"].to_numpy(), pdf["batch"].to_numpy()
+    lat, lng = (pdf[c].to_numpy(float) for c in ("lat", "lng"))
+    out, ends = modes.copy(), [*np.flatnonzero(np.diff(batch)) + 1, len(batch)]
+    for a, b in zip([0, *ends], ends):
+        if b - a >= min_batch:
+            out[a:b] = corrected(modes[a:b], t[a:b], lat[a:b], lng[a:b], drive_verify_ms, drive_km)
+    return pdf[["user_key", "seq", "ts", "lat", "lng", "mode"]].assign(rectified=out)
 
 
 def rectify(df: DataFrame, *, max_gap_s: float = MAX_GAP_S, max_still: int = MAX_STILL, min_batch: int = MIN_BATCH, drive_verify_ms: int = DRIVE_VERIFY_MS, drive_km: float = DRIVE_KM, include_open: bool = False) -> DataFrame:
@@ -76,4 +85,4 @@ def rectify(df: DataFrame, *, max_gap_s: float = MAX_GAP_S, max_still: int = MAX
     if not include_open:
         held = held.withColumn("_last", F.max("batch").over(Window.partitionBy("user_key"))).filter("batch < _last")
     key = df.schema["user_key"].dataType.simpleString()
-    return held.select("user_key", "batch", "seq", "ts", "_ms", "lat", "lng", "mode").groupBy("user_key", "batch").applyInPandas(lambda pdf: corrected(pdf, min_batch, drive_verify_ms, drive_km), f"user_key {key}, seq long, ts timestamp, lat double, lng double, mode string, rectified string")
+    return held.select("user_key", "batch", "seq", "ts", "_ms", "lat", "lng", "mode").groupBy("user_key", F.expr(f"batch div {BATCHES_IN_GROUP}")).applyInPandas(lambda pdf: corrected_batches(pdf, min_batch, drive_verify_ms, drive_km), f"user_key {key}, seq long, ts timestamp, lat double, lng double, mode string, rectified string")

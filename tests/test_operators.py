@@ -201,6 +201,10 @@ def test_hmm_batches(spark):
 
     kept, decoded = (hmm.rectify(rows(n)).filter("seq = 9").first().rectified for n in (19, 20))
     assert (kept, decoded) == ("DRIVE", "STILL")
+    # Forty batches, more than a group holds, of 20 (a DRIVE is taken back) and 19 records (it stays) in turn.
+    many = [(k * 10_000 + i * 10, "DRIVE" if i == 9 else "STILL", 40.0, -74.0, 5.0) for k in range(40) for i in range(20 - k % 2)]
+    got = hmm.rectify(stream(spark, many), include_open=True).orderBy("ts").collect()
+    assert [r.rectified for r in got] == [m if k % 2 else "STILL" for k in range(40) for m in ["STILL"] * 9 + ["DRIVE"] + ["STILL"] * (10 - k % 2)]
     b = hmm.with_batches(stream(spark, [(i, "STILL") for i in range(125)] + [(304, "WALK"), (484.001, "WALK")])).groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in b] == [60, 60, 6, 1]
 
