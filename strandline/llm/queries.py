@@ -82,13 +82,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_top_k": """
-            WITH v AS (SELECT vec_id, max(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+            WITH v AS (SELECT vec_id, max(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
                        FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-                       AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
             p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
                   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
             SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM p
-            QUALIFY row_number() OVER w <= 20 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)""",
+            WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20""",
         "op9_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
