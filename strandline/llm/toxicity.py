@@ -54,14 +54,20 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
 
 
+def known_labels(labels: DataFrame, label: str, allowed: Column | None) -> DataFrame:
+    """``(doc_id, y)`` of the allowed rows, one per document: of repeated labels the largest; null labels and ids are left out."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = known if allowed is None else known.filter(allowed)
+    return known.groupBy("doc_id").agg(F.max(label).alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column | None, rows: int, chars: int) -> DataFrame:
     """``(doc_id, text, y)``: of each label up to ``rows`` rows, in hash order of their ids.
 
     At most 2 * rows ids are broadcast. Repeated labels count by their largest;
     labels or ids that are null are left out.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    known = known if allowed is None else known.filter(allowed)
+    known = known_labels(labels, label, allowed)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("y = 1").orderBy(*order).limit(rows).unionByName(known.filter("y = 0").orderBy(*order).limit(rows))
     picked = picked.select(F.col("doc_id").alias("_id"), "y")
@@ -121,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, *, allowed: Column | None = None,
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return {}, -30.0
-    of_all = {r["y"]: r["n"] for r in labels.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).collect()}
+    of_all = {r["y"]: r["n"] for r in known_labels(labels, label, allowed).groupBy("y").agg(F.count("*").alias("n")).collect()}
     seen = sample.select("text", "y").mapInArrow(_feature_rows, "feature string, y int").groupBy("feature").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     lift = (F.col("a") + 0.5) / pos / ((F.col("b") + 0.5) / neg)
     chosen = seen.filter(F.col("a") >= max(3, pos // 500)).filter(lift >= 3).orderBy((F.col("a") * F.log(lift)).desc(), "feature").limit(features)

@@ -92,3 +92,14 @@ def test_toxicity(spark, docs):
     assert rows[180][1][got[180].worst_start : got[180].worst_end].strip().startswith("you are")
     assert got[900].score == got[901].score == 0
     assert toxicity.train(table, marks.limit(0)) == ({}, -30.0)
+
+
+def test_toxicity_learns_no_held_out_label(spark, docs):
+    rows = [(i, "you are a foul one. all is well" if i % 4 == 0 else "all is well today. the sun shines") for i in range(80)]
+    table = docs(rows)
+    marks = [(i, int(i % 4 == 0)) for i in range(80)]
+    others = [(i, 1 - y) for i, y in marks if i >= 60] + [(1000 + i, 0) for i in range(900)]
+    schema, allowed = "doc_id long, toxic int", F.col("doc_id") < 60
+    plain = toxicity.train(table, spark.createDataFrame(marks, schema), allowed=allowed)
+    flipped = toxicity.train(table, spark.createDataFrame([m for m in marks if m[0] < 60] + others, schema), allowed=allowed)
+    assert plain[0] and plain == flipped
