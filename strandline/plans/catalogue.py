@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import values
@@ -116,9 +116,12 @@ def hmm_rectify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def home_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = places.place_segments(_gated(spark, sf_dir), ahead_ms=AHEAD_MS, max_gap_ms=SEGMENT_MS)
-    near = places.leader_places(p.withColumn("lat", F.round("lat", 2)).withColumn("lng", F.round("lng", 2)))
-    return _ntz(home.home_time(near))
+    # The events have hardly any place that lasts, so each record lasts until the next, at one of two places or on the way.
+    stay = F.col("raw_mode").isin("still", "walking", "running")
+    g = _gated(spark, sf_dir).withColumn("end", F.lead("ts").over(Window.partitionBy("user_key").orderBy("ts", "seq"))).filter("end is not null")
+    s = g.select("user_key", "tz", F.col("seq").alias("segment"), F.col("ts").alias("start"), "end", F.when(stay, "Place").otherwise("Moves").alias("state"), F.when(stay, F.when(F.col("k") % 3 == 0, 1).otherwise(0)).cast("long").alias("place_id"))
+    s = s.withColumn("lat", 40.7 + F.col("place_id") * 0.5).withColumn("lng", -74.0 + F.col("place_id") * 0.5)
+    return _ntz(home.home_time(segments.split_by_day(s)))
 
 
 def segment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,6 +253,17 @@ m AS (SELECT CAST(floor(user_id / 75.0) AS BIGINT) AS user_key, event_id AS seq,
 g AS (SELECT * FROM (SELECT *, max(ms) OVER (PARTITION BY user_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM m) WHERE was IS NULL OR ms > was)"""
 MOVES = """,
 v AS (SELECT user_key, seq, ts AS "start", ms AS a, ms + CAST(floor(value * 10000) AS BIGINT) AS b, raw_mode IN ('still', 'running') AS placed, raw_mode, value, k, raw_mode IN ('walking', 'bike', 'moonwalk') AS walked FROM m)"""
+_HOME = """,
+s AS (SELECT user_key, ms AS a, lead(ms) OVER (PARTITION BY user_key ORDER BY ms, seq) AS b, CASE WHEN raw_mode IN ('still', 'walking', 'running') THEN CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END END AS place FROM g),
+d AS (SELECT user_key, place, d, greatest(a, d * 86400000) AS a, least(b, (d + 1) * 86400000 - 1) AS b FROM (SELECT *, unnest(generate_series(a // 86400000, b // 86400000)) AS d FROM s WHERE b IS NOT NULL)),
+c AS (SELECT * FROM d WHERE a < b QUALIFY d < max(d) OVER (PARTITION BY user_key)),
+p AS (SELECT *, min(a) FILTER (place IS NOT NULL) OVER w AS p0, max(a) FILTER (place IS NOT NULL) OVER w AS p1 FROM c WINDOW w AS (PARTITION BY user_key, d)),
+r AS (SELECT *, row_number() OVER w AS n, arg_min(place, a) OVER w2 AS home FROM p WHERE a BETWEEN p0 AND p1 WINDOW w AS (PARTITION BY user_key, d ORDER BY a), w2 AS (PARTITION BY user_key, d)),
+h AS (SELECT *, min(n) FILTER (place IS DISTINCT FROM home) OVER w AS away0, max(n) FILTER (place IS DISTINCT FROM home) OVER w AS away1 FROM r WINDOW w AS (PARTITION BY user_key, d)),
+t AS (SELECT user_key, d, min(home) AS home, arg_max(place, a) AS last_place, min(a) AS a0, max(b) AS b1, sum((b - a) // 1000) AS span, max(away0) AS away0, max(b) FILTER (n = away0 - 1) AS left_at, max(a) FILTER (n = away1 + 1) AS back_at, coalesce(sum(b - a) FILTER (n > away0 AND n < away1 AND place = home), 0) AS inside FROM h GROUP BY user_key, d)
+SELECT user_key, make_timestamp(d * 86400000000) AS win_begin, make_timestamp(b1 * 1000) AS "at", make_timestamp(left_at * 1000) AS leave, make_timestamp(back_at * 1000) AS "return",
+  CASE WHEN away0 IS NULL THEN 86400 ELSE CAST((left_at - d * 86400000 + (d + 1) * 86400000 - 1 - back_at + inside) // 1000 AS BIGINT) END AS home_s, 40.7E0 + home * 0.5E0 AS home_lat, -74.0E0 + home * 0.5E0 AS home_lng
+FROM t WHERE hour(make_timestamp(a0 * 1000)) <= 11 AND hour(make_timestamp(b1 * 1000)) >= 20 AND span > 43200 AND home = last_place"""
 _ACTIVE = "mode IN ('RUN', 'WALK', 'CYCLING')"
 _CLOSED = "FROM x QUALIFY win_begin < max(win_begin) OVER (PARTITION BY user_key)"
 _DAY, _HOUR = "date_trunc('day', ts)", "date_trunc('hour', ts)"
@@ -302,6 +316,7 @@ def oracle_sql() -> dict[str, str]:
         "place_state": f"{with_m}{_PLACES} SELECT user_key, seq, ts, round(max_m, 3) AS max_m, state FROM s",
         "place_segments": f"{with_m}{_PLACES}, t AS (SELECT *, (state <> lag(state) OVER o) OR (ms - lag(ms) OVER o > {SEGMENT_MS}) AS cut FROM s WINDOW o AS (PARTITION BY user_key ORDER BY ts, seq)), u AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY user_key ORDER BY ts, seq) AS segment FROM t), v AS (SELECT * FROM u QUALIFY segment < max(segment) OVER (PARTITION BY user_key)) SELECT user_key, state, min(ts) AS start, max(ts) AS \"end\", count(*) AS points, CASE WHEN state = 'Place' THEN round(median(lat), 4) END AS lat, CASE WHEN state = 'Place' THEN round(median(lng), 4) END AS lng FROM v GROUP BY user_key, segment, state HAVING min(ts) < max(ts)",
         "nearest_place": f"{with_m}, p AS (SELECT i AS place_id, 40.70 + i * 0.0005E0 AS lat, -74.0 + (i % 10) * 0.0005E0 AS lng FROM range(40) r(i)), a AS (SELECT * FROM m WHERE lat IS NOT NULL AND accuracy <= 100) SELECT a.user_key, a.seq, arg_min(p.place_id, {_metres('a', 'p')}) FILTER ({_metres('a', 'p')} < 30) AS place_id FROM a CROSS JOIN p GROUP BY ALL",
+        "home_time": f"{with_m}{_HOME}",
         "segment_dedup": f"{with_m}{_DEDUP} SELECT user_key, seq, {_stamp('a')} AS start, {_stamp('b')} AS \"end\" FROM z",
         "split_by_day": f"{with_m}, s AS (SELECT user_key, seq, ms AS a, ms + seq % 5 * 50000000 AS b FROM m), d AS (SELECT *, unnest(generate_series(a // {day_ms}, b // {day_ms})) AS d FROM s), c AS (SELECT user_key, seq, greatest(a, d * {day_ms}) AS lo, least(b, (d + 1) * {day_ms} - 1) AS hi FROM d) SELECT user_key, seq, {_stamp('lo')} AS start, {_stamp('hi')} AS \"end\" FROM c WHERE lo < hi",
         "clip_to_day": f"{with_m}, s AS (SELECT user_key, seq, greatest(ms, (ms // {day_ms} + seq % 2) * {day_ms}) AS a, least(ms + seq % 5 * 50000000, (ms // {day_ms} + seq % 2 + 1) * {day_ms} - 1) AS b FROM m) SELECT user_key, seq, {_stamp('a')} AS start, {_stamp('b')} AS \"end\" FROM s WHERE a <= b",
