@@ -292,6 +292,15 @@ u AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY user_key, b ORDER
 n AS (SELECT *, lead(a) OVER o AS na, lead(b) OVER o AS nb FROM u WINDOW o AS (PARTITION BY user_key ORDER BY b, seq)),
 r AS (SELECT user_key, seq, placed, k, a, CASE WHEN na < b AND a < nb THEN greatest(a, na) ELSE b END AS b FROM n WHERE nb IS NOT NULL),
 z AS (SELECT * FROM r WHERE b > a)"""
+_MOVES_HOME = _DEDUP.replace("u AS (SELECT * FROM v", "u AS (SELECT * REPLACE (b + 400000 AS b) FROM v") + """,
+q AS (SELECT *, b // 86400000 AS d, CASE WHEN placed THEN CAST(k % 5 AS BIGINT) END AS place FROM z QUALIFY b // 86400000 < max(b // 86400000) OVER (PARTITION BY user_key)),
+i AS (SELECT *, row_number() OVER (PARTITION BY user_key, d ORDER BY b, seq) AS n FROM q),
+y AS (SELECT user_key, d, CASE WHEN bool_or(place = 0) THEN 0 WHEN arg_min(place, n) = arg_max(place, n) THEN arg_min(place, n) END AS home FROM i GROUP BY ALL HAVING sum(b - a) / 86399000.0 > 0.5),
+h AS (SELECT i.*, home, place IS NOT DISTINCT FROM home AS stay FROM i JOIN y USING (user_key, d) WHERE home IS NOT NULL),
+f AS (SELECT *, min(n) FILTER (NOT stay) OVER w AS away0, max(n) FILTER (NOT stay) OVER w AS away1 FROM h WINDOW w AS (PARTITION BY user_key, d)),
+t AS (SELECT user_key, d, min(home) AS home, min(b) AS b0, max(b) FILTER (n = away0 - 1) AS left_at, max(a) FILTER (n = away1 + 1) AS back_at, coalesce(sum((b - a) // 1000) FILTER (stay AND n > away0 AND n < away1), 0) AS inside FROM f GROUP BY user_key, d)
+SELECT user_key, make_timestamp(d * 86400000000) AS win_begin, make_timestamp(b0 * 1000) AS "at", CASE WHEN back_at IS NOT NULL THEN make_timestamp(left_at * 1000) END AS leave, CASE WHEN left_at IS NOT NULL THEN make_timestamp(back_at * 1000) END AS "return",
+  CASE WHEN left_at IS NULL OR back_at IS NULL THEN 86400 ELSE CAST((left_at - d * 86400000) // 1000 + ((d + 1) * 86400000 - 1 - back_at) // 1000 + inside AS BIGINT) END AS home_s, 40.70E0 + home * 0.001E0 AS home_lat, CAST(-74.0 AS DOUBLE) AS home_lng FROM t"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -322,6 +331,7 @@ def oracle_sql() -> dict[str, str]:
         "clip_to_day": f"{with_m}, s AS (SELECT user_key, seq, greatest(ms, (ms // {day_ms} + seq % 2) * {day_ms}) AS a, least(ms + seq % 5 * 50000000, (ms // {day_ms} + seq % 2 + 1) * {day_ms} - 1) AS b FROM m) SELECT user_key, seq, {_stamp('a')} AS start, {_stamp('b')} AS \"end\" FROM s WHERE a <= b",
         "moves_coverage_hourly": f"{with_m}{_DEDUP}, c AS (SELECT user_key, unnest(generate_series(a // 3600000, b // 3600000)) AS w, a, b FROM z), y AS (SELECT user_key, w, sum(least(b, (w + 1) * 3600000 - 1) - greatest(a, w * 3600000)) AS covered FROM c GROUP BY ALL HAVING sum(least(b, (w + 1) * 3600000 - 1) - greatest(a, w * 3600000)) > 0), x AS (SELECT user_key, {_stamp('w * 3600000')} AS win_begin, round(least(1.0, covered / 3599999.0), 6) AS coverage FROM y) SELECT * {_CLOSED}",
         "moves_activity_daily": f"{with_m}{MOVES}, x AS (SELECT user_key, date_trunc('day', {_stamp('b')}) AS win_begin, min({_stamp('b')}) AS first_ts, round(CAST(sum((b - a) // 1000) AS DOUBLE), 3) AS total_s, round(CAST(sum(CASE WHEN walked THEN (b - a) / 1000.0 ELSE 0 END) AS DOUBLE), 3) AS active_s, round(CAST(sum((b - a) // 1000) - sum(CASE WHEN walked THEN (b - a) / 1000.0 ELSE 0 END) AS DOUBLE), 3) AS sedentary_s, round(CAST(sum(CASE WHEN raw_mode = 'drive' THEN (b - a) / 1000.0 ELSE 0 END) AS DOUBLE), 3) AS transport_s, round(sum(CASE WHEN walked THEN value * 10 * 0.000621371192E0 ELSE 0 END), 3) AS miles, coalesce(CAST(sum(k) FILTER (walked) AS BIGINT), -1) AS steps, count(*) FILTER (walked) AS episodes FROM v GROUP BY ALL) SELECT * {_CLOSED}",
+        "moves_home_time": f"{with_m}{_MOVES_HOME}",
         "track_points": f"{with_m}{MOVES}, p AS (SELECT user_key, seq, 0 AS point, CASE WHEN placed THEN b WHEN k % 2 = 0 THEN CAST(floor(a + (b - a) * 0.25E0) AS BIGINT) ELSE b END AS t_ms, CASE WHEN placed THEN 40.70 + (k % 5) * 0.001E0 ELSE 40.7 + k * 0.0001E0 END AS lat FROM v UNION ALL SELECT user_key, seq, 1, CASE WHEN k % 2 = 0 THEN CAST(floor(a + (b - a) * 0.5E0) AS BIGINT) ELSE b END, 40.8 + k * 0.0001E0 FROM v WHERE NOT placed) SELECT user_key, seq, point, {_stamp('t_ms')} AS ts, round(CAST(lat AS DOUBLE), 4) AS lat, CAST(-74.0 AS DOUBLE) AS lng FROM p",
         "latest_credential": f"{with_m}{tokens}, b AS (SELECT CAST(user_key AS VARCHAR) AS user_key, seq, ts, FALSE AS from_requester FROM t WHERE seq % 2 = 0 AND username = '' UNION ALL SELECT username, seq, ts, TRUE FROM t WHERE seq % 2 = 1 AND username <> '') SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY ts DESC, from_requester DESC, seq DESC) = 1",
         "latest_oauth": f"{with_m}{tokens} SELECT user_key, seq, ts, scope FROM t WHERE provider LIKE '%goo%' AND username = CAST(user_key AS VARCHAR) QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY ts DESC, seq DESC) = 1",
