@@ -86,6 +86,12 @@ def context(text: str, start: int, end: int) -> str:
     return re.sub(r"\d+", "0", " ".join(left) + " _ " + " ".join(right))
 
 
+def instance(identifier: str) -> str:
+    """The key of an identifier in the graph: itself in lower case, or its digest if it is long."""
+    low = identifier.lower()
+    return low if len(low) <= INSTANCE_CHARS else hashlib.sha256(low.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Identifier-shaped tokens outside the base spans: six or more characters, with three digits or an @."""
     out, i = [], 0
@@ -116,7 +122,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py() or ""
             base = base_spans(text)
             found = [(k, a, b) for a, b, k in base] + [(None, a, b) for a, b in candidates(text, base)]
-            mentions = [{"kind": k, "start": a, "end": b, "instance": text[a:b][:INSTANCE_CHARS].lower(), "pattern": context(text, a, b)} for k, a, b in found]
+            mentions = [{"kind": k, "start": a, "end": b, "instance": instance(text[a:b]), "pattern": context(text, a, b)} for k, a, b in found]
             rows.append((key, doc, written(base), [sum(s[2] == k for s in base) for k in KINDS], mentions))
         key, doc, base, n, mentions = zip(*rows) if rows else ((),) * 5
         doc = pa.array([d.as_py() for d in doc], batch.schema.field(1).type)

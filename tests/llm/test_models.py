@@ -29,6 +29,12 @@ def test_base_spans():
     assert pii.base_spans("a" * 300_000 + "@") == []
 
 
+def test_long_instances_differ_by_their_ends():
+    long = "a1b2" * 40
+    assert pii.instance("AB@c.D") == "ab@c.d"
+    assert len({pii.instance(long + end) for end in "xyz"}) == 3 and len(pii.instance(long)) == 64
+
+
 def test_find_pii(spark, docs):
     rows = [(i, f"please call me at user{i}@mail.example now") for i in range(5)] + [(9, "please call me at user9-AT-mail77 now"), (10, None), (11, ""), (11, "")]
     got = {r.doc_id: r for r in pii.find_pii(docs(rows).withColumn("key", F.lit(1))).collect()}
