@@ -1,6 +1,6 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is dropped when an earlier line, by doc_id and line number, has the same
+A line is dropped when an earlier line, by doc_id (then text) and line number, has the same
 words or differs by at most one word put in, taken out or replaced. Words are
 runs without white space, in lower case; one edit in five words or more is a
 similarity of 0.8 or more, so only lines of ``MIN_WORDS`` words take part, and
@@ -37,18 +37,19 @@ WRAP_WORDS = 256
 
 
 def line_units(docs: DataFrame, wrap: int = WRAP_WORDS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, line, part, words, n)``: n words in lower case, with single spaces; blank lines have none."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    """``docs(doc_id, text)`` -> ``(doc_id, text_key, line, part, words, n)``: n words in lower case, with single spaces; blank lines have none."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    lines = keyed.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     spaced = F.lit(False)
     for odd in ("  ", "\t", "\r", "\x0b", "\f"):
         spaced = spaced | F.contains("raw", F.lit(odd))
     single = F.trim(F.lower(F.when(spaced, F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw"))))
-    lines = lines.select("doc_id", "line", single.alias("whole"))
+    lines = lines.select("doc_id", "text_key", "line", single.alias("whole"))
     count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
     n = count("whole")
     # The outer transform names the words, so that they are parted once.
     parts = F.transform(F.array(F.split("whole", " ")), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / wrap).cast("int")), lambda k: F.array_join(F.slice(w, k * wrap + 1, F.lit(wrap)), " ")))
-    units = lines.select("doc_id", "line", F.posexplode(F.when(n <= wrap, F.array("whole")).otherwise(parts[0])).alias("part", "words"))
+    units = lines.select("doc_id", "text_key", "line", F.posexplode(F.when(n <= wrap, F.array("whole")).otherwise(parts[0])).alias("part", "words"))
     return units.withColumn("n", count("words"))
 
 
@@ -83,7 +84,7 @@ def one_edit(a: str, b: str) -> Column:
 
 
 def _position() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "part")
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line", "part")
 
 
 def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch, wrap: int) -> DataFrame:
@@ -132,14 +133,15 @@ def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch, wrap: int) ->
 
 
 def duplicate_lines(docs: DataFrame, *, wrap: int = WRAP_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> the dropped lines: doc_id, line, part, near, keep_doc, keep_line, keep_part.
+    """``docs(doc_id, text, ...)`` -> the dropped lines: doc_id, text_key, line, part, near, keep_doc, keep_line, keep_part.
 
     line counts from 0; part is above 0 only in a line of more than ``wrap``
     words. The keep columns name the earliest line with the same words, or, if
     near, the earliest that a shared variant led to, one edit away. It may itself
     be dropped for a still earlier one. Null and empty texts have no lines, null
     doc_ids come last, and rows that repeat a doc_id and text count as one
-    document.
+    document. Texts that share a doc_id are documents of their own, told apart
+    by text_key, a hash of the text, and ordered by it.
     """
     if min_words < MIN_WORDS:
         raise ValueError(f"min_words is {MIN_WORDS} at least")
@@ -156,16 +158,16 @@ def duplicate_lines(docs: DataFrame, *, wrap: int = WRAP_WORDS, min_words: int =
     decided = exact.join(near, ["h1", "h2"], "left").withColumn("witness", F.expr("if(witness < first, witness, null)")).filter("witness is not null or lines > 1").select("h1", "h2", "first", "witness")
     places = keyed.filter(F.col("n") >= min_words).select("at", "h1", "h2")
     dropped = places.join(decided, ["h1", "h2"]).filter("witness is not null or at <> first").select("at", F.col("witness").isNotNull().alias("near"), F.coalesce("witness", "first").alias("keep")).distinct()
-    return dropped.select("at.doc_id", "at.line", "at.part", "near", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"), F.col("keep.part").alias("keep_part"))
+    return dropped.select("at.doc_id", "at.text_key", "at.line", "at.part", "near", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"), F.col("keep.part").alias("keep_part"))
 
 
 def line_report(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, lines (not blank), exact and near dropped ones, and which, as line:part."""
-    dropped = duplicate_lines(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.when(~F.col("near"), 1)).alias("exact"), F.count(F.when(F.col("near"), 1)).alias("near"), F.array_sort(F.collect_list(F.struct("line", "part"))).alias("which"))
+    dropped = duplicate_lines(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count(F.when(~F.col("near"), 1)).alias("exact"), F.count(F.when(F.col("near"), 1)).alias("near"), F.array_sort(F.collect_list(F.struct("line", "part"))).alias("which"))
     lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
-    counted = docs.select("doc_id", lines.alias("lines"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("text_key"), lines.alias("lines"))
     which = F.array_join(F.transform("which", lambda x: F.concat_ws(":", x["line"], x["part"])), ",")
-    return counted.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "lines", F.coalesce("exact", F.lit(0)).alias("exact"), F.coalesce("near", F.lit(0)).alias("near"), F.coalesce(which, F.lit("")).alias("dropped"))
+    return counted.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left").select("doc_id", "lines", F.coalesce("exact", F.lit(0)).alias("exact"), F.coalesce("near", F.lit(0)).alias("near"), F.coalesce(which, F.lit("")).alias("dropped"))
 
 
 def drop_duplicate_lines(docs: DataFrame, *, wrap: int = WRAP_WORDS, **how) -> DataFrame:
@@ -175,8 +177,8 @@ def drop_duplicate_lines(docs: DataFrame, *, wrap: int = WRAP_WORDS, **how) -> D
     Of a line longer than ``wrap`` words that loses a part, the other parts stay,
     with single spaces. ``n_chars``, where there is one, counts the new text.
     """
-    dropped = duplicate_lines(docs, wrap=wrap, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("line", "part")).alias("_out"))
-    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]), "left")
+    dropped = duplicate_lines(docs, wrap=wrap, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("line", "part")).alias("_out"))
+    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]) & (F.xxhash64(docs["text"]) == dropped["_key"]), "left")
 
     def rebuilt(raw: Column, i: Column) -> Column:
         parts = F.transform(F.filter("_out", lambda x: x["line"] == i), lambda x: x["part"])

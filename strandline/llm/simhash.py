@@ -51,8 +51,8 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
 
 def _span(bits: list[int], radius: int) -> list[list[int]]:
@@ -134,7 +134,7 @@ def hamming_links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, buck
     return links
 
 
-def simhash_groups(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def simhash_groups(docs: DataFrame, **how) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, fp long, component_id)``, one row for each input row.
 
     A null text counts as empty; texts without words have fingerprint 0 and link
@@ -142,23 +142,35 @@ def simhash_groups(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS, b
     Repeated rows stay repeated. A null doc_id keeps its row and never is a
     component's id, unless all of the component's are null.
     """
+    return _groups(docs, **how).drop("text_key", "root")
+
+
+def _groups(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """As ``simhash_groups``, with ``text_key``, a hash of the text, and ``root``, the component."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    fps = scratch.save(slim.mapInArrow(lambda it: _fingerprints(it, shingle), slim.schema["doc_id"].dataType.simpleString().join(["doc_id ", ", fp long"])), "fingerprints")
+    slim = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    fps = scratch.save(slim.mapInArrow(lambda it: _fingerprints(it, shingle), slim.schema["doc_id"].dataType.simpleString().join(["doc_id ", ", text_key long, fp long"])), "fingerprints")
     nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(hamming_links(nodes, scratch, radius, bucket_rows), scratch)
     member = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = member.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups(doc_id, text_key, root)`` for all rows of ``docs`` -> one row for each root: the smallest doc_id, null ones last, then text_key."""
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("at"))
+    first = first.select(F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key"))
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(docs["text"]) == first["_key"]), "left_semi")
+    # What is left under one id and text is one text, and a single row of it is enough.
+    return kept.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the smallest doc_id stays.
 
-    Columns stay as they are. Of rows that share a kept doc_id one stays; rows
-    without a doc_id stay only where a whole component has none.
+    Columns stay as they are. Each component keeps exactly one row, whether its
+    doc_id is null or is another text's too.
     """
-    groups = simhash_groups(docs, **how).groupBy("component_id").agg(F.lit(1).alias("one")).select(F.col("component_id").alias("_kept"))
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["_kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return one_of_each(docs, _groups(docs, **how))
