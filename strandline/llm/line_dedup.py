@@ -3,8 +3,8 @@
 A line is dropped when an earlier line, by doc_id (then text) and line number, has the same
 words or differs by at most one word put in, taken out or replaced. Words are
 runs without white space, in lower case; one edit in five words or more is a
-similarity of 0.8 or more, so only lines of ``MIN_WORDS`` words take part, and
-shorter ones always stay.
+similarity of 0.8 or more, so only lines of ``MIN_WORDS`` words take part in
+that. Lines of ``exact_words`` words or more go if they repeat exactly.
 
 Two lines one edit apart have equal deletion variants: the same words around
 the one left out (replaced), or one line's variant is the other line (put in).
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from strandline.llm.scratch import Scratch
 
 MIN_WORDS = 5
-#: A line of more words is read as consecutive lines of this many.
+#: A line of more words is read as consecutive lines of this many, unless ``wrap`` says otherwise.
 WRAP_WORDS = 256
+#: As ``wrap``: every line is whole, as the query and the pipeline take it.
+WHOLE = 1 << 30
 
 
 def line_units(docs: DataFrame, wrap: int = WRAP_WORDS) -> DataFrame:
@@ -79,7 +81,9 @@ def one_edit(a: str, b: str) -> Column:
     """Whether two word arrays are at most one edit apart."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), F.lit(0), lambda s, x: s + x) <= 1
     longer, shorter = F.when(F.size(a) > F.size(b), F.col(a)).otherwise(F.col(b)), F.when(F.size(a) > F.size(b), F.col(b)).otherwise(F.col(a))
-    one_out = F.exists(F.sequence(F.lit(1), F.size(longer)), lambda i: F.concat(F.slice(longer, F.lit(1), i - 1), F.slice(longer, i + 1, F.size(longer))) == shorter)
+    # Where they part first, one word of the longer is out of place; null stands beyond the shorter.
+    at = F.array_position(F.zip_with(longer, shorter, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    one_out = F.concat(F.slice(longer, F.lit(1), at - 1), F.slice(longer, at + 1, F.size(longer))) == shorter
     return F.when(F.size(a) == F.size(b), same).when(F.abs(F.size(a) - F.size(b)) == 1, one_out).otherwise(False)
 
 
@@ -89,7 +93,7 @@ def _position() -> Column:
 
 def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch, wrap: int) -> DataFrame:
     """Distinct lines -> ``(h1, h2, witness)``: an earlier line at most one edit away."""
-    halves = distinct.select(F.col("first").alias("at"), "n", F.posexplode("halves").alias("which", "half")).filter("half is not null")
+    halves = distinct.filter(F.col("n") >= MIN_WORDS - 1).select(F.col("first").alias("at"), "n", F.posexplode("halves").alias("which", "half")).filter("half is not null")
     # A place for each length of the class, and one for the next length.
     guest = F.col("which") >= 2
     halves = halves.select("at", "half", "which", "n", (F.col("n") - F.when(guest, F.expr(_BELOW)).otherwise(F.expr(_LOW))).cast("int").alias("place"))
@@ -132,7 +136,7 @@ def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch, wrap: int) ->
     return checked.groupBy("h1", "h2").agg(F.min("witness.at").alias("witness"))
 
 
-def duplicate_lines(docs: DataFrame, *, wrap: int = WRAP_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, wrap: int = WRAP_WORDS, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> the dropped lines: doc_id, text_key, line, part, near, keep_doc, keep_line, keep_part.
 
     line counts from 0; part is above 0 only in a line of more than ``wrap``
@@ -141,22 +145,24 @@ def duplicate_lines(docs: DataFrame, *, wrap: int = WRAP_WORDS, min_words: int =
     be dropped for a still earlier one. Null and empty texts have no lines, null
     doc_ids come last, and rows that repeat a doc_id and text count as one
     document. Texts that share a doc_id are documents of their own, told apart
-    by text_key, a hash of the text, and ordered by it.
+    by text_key, a hash of the text, and ordered by it. Near lines have
+    ``min_words`` words or more, exact repeats ``exact_words`` (as many, if None).
     """
     if min_words < MIN_WORDS:
         raise ValueError(f"min_words is {MIN_WORDS} at least")
     scratch = Scratch(docs.sparkSession, "line-dedup")
     docs = docs.select("doc_id", "text")
-    units = line_units(docs, wrap).filter(F.col("n") >= min_words - 1)
+    least = min_words if exact_words is None else max(1, exact_words)
+    units = line_units(docs, wrap).filter(F.col("n") >= min(min_words - 1, least))
     keyed = units.select(_position().alias("at"), "n", *_keys("words"), _halves().alias("halves"))
     keyed = scratch.save(keyed, "keyed-lines")
     distinct = keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
     distinct = scratch.save(distinct, "distinct-lines")
     near = _near(docs, distinct, scratch, wrap)
-    exact = distinct.filter(F.col("n") >= min_words).select("h1", "h2", "first", "lines")
-    # A line of one word less can show that a longer one is near, but stays itself.
-    decided = exact.join(near, ["h1", "h2"], "left").withColumn("witness", F.expr("if(witness < first, witness, null)")).filter("witness is not null or lines > 1").select("h1", "h2", "first", "witness")
-    places = keyed.filter(F.col("n") >= min_words).select("at", "h1", "h2")
+    exact = distinct.filter(F.col("n") >= min(min_words, least)).select("h1", "h2", "first", F.when(F.col("n") >= least, F.col("lines")).otherwise(1).alias("lines"), "n")
+    # A line of one word less can show that a longer one is near, but is not near itself.
+    decided = exact.join(near, ["h1", "h2"], "left").withColumn("witness", F.expr(f"if(n >= {min_words} and witness < first, witness, null)")).filter("witness is not null or lines > 1").select("h1", "h2", "first", "witness")
+    places = keyed.filter(F.col("n") >= min(min_words, least)).select("at", "h1", "h2")
     dropped = places.join(decided, ["h1", "h2"]).filter("witness is not null or at <> first").select("at", F.col("witness").isNotNull().alias("near"), F.coalesce("witness", "first").alias("keep")).distinct()
     return dropped.select("at.doc_id", "at.text_key", "at.line", "at.part", "near", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"), F.col("keep.part").alias("keep_part"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.hmm_lm import train_and_score
 from strandline.llm.kneser_ney import score_quality
-from strandline.llm.line_dedup import line_report
+from strandline.llm.line_dedup import WHOLE, line_report
 from strandline.llm.mixing import mixed_counts
 from strandline.llm.packing import pack_power_of_two
 from strandline.llm.pii import KINDS, find_pii
@@ -27,7 +27,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(documents(spark, sf_dir))
+    return line_report(documents(spark, sf_dir), wrap=WHOLE, exact_words=1)
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
