@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are what strict patterns find (e-mail and IP addresses, card numbers with
-a valid check digit, phone numbers). Each seed's context, the words on both
-sides, is a lexical pattern. Spark scores the graph of patterns and instances
+a valid check digit, phone numbers). The words around a mention, on one side or
+both, are its lexical patterns. Spark scores the graph of patterns and instances
 in rounds: a pattern is worth the mean score of the instances it extracts, an
-instance the best of its patterns; seeds stay at 1. Patterns of high confidence
-then discover identifiers that the seeds' forms do not cover.
+instance the best of its patterns; seeds stay at 1. An instance that reaches the
+score counts as a seed in the next round and gives its other patterns its kind.
+Patterns of high confidence discover identifiers that the seeds' forms do not
+cover.
 
 Texts are scanned once, in a narrow pass that keeps per document the base spans
 and the identifier-shaped tokens with their contexts; all later rounds run on
@@ -39,6 +41,8 @@ _CARD = re.compile(r"[0-9]([ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SHAPED = re.compile(r"[^\s,;()<>\"']*[0-9@][^\s,;()<>\"']*")
+# Groups of digits joined by single spaces, dots, hyphens or parentheses; possessive, so that runs are tried once.
+_GROUPS = re.compile(r"(?<![0-9])\(?[0-9]++(?:(?:\)[ .-]?|[ .-]\(?|\()[0-9]++)+")
 _TOKEN = re.compile(r"\w+")
 
 
@@ -79,11 +83,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def context(text: str, start: int, end: int) -> str:
-    """The word before, and the word after, in lower case, digits as 0."""
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """Patterns of a mention, in lower case, digits as 0: two words before and one after, one and one, two or one before, one after."""
     left = _TOKEN.findall(text[max(0, start - CONTEXT_CHARS) : start].lower())[-2:]
     right = _TOKEN.findall(text[end : end + CONTEXT_CHARS].lower())[:1]
-    return re.sub(r"\d+", "0", " ".join(left) + " _ " + " ".join(right))
+    sides = [(left, right), (left[-1:], right), (left, []), (left[-1:], []), ([], right)]
+    return list(dict.fromkeys(re.sub(r"\d+", "0", " ".join(x) + " _ " + " ".join(y)) for x, y in sides if x or y))
 
 
 def instance(identifier: str) -> str:
@@ -93,10 +98,9 @@ def instance(identifier: str) -> str:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Identifier-shaped tokens outside the base spans: six or more characters, with three digits or an @."""
+    """Identifier-shaped tokens and runs of digit groups outside the base spans: six or more characters, with three digits or an @."""
     out, i = [], 0
-    for m in _SHAPED.finditer(text):
-        a, b = m.span()
+    for a, b in sorted({m.span() for form in (_SHAPED, _GROUPS) for m in form.finditer(text)}):
         while a < b and text[b - 1] in ".:!?*#$%&|":
             b -= 1
         if b - a < 6 or ("@" not in text[a:b] and sum(c.isdigit() for c in text[a:b]) < 3):
@@ -105,14 +109,14 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
             i += 1
         if all(s[1] <= a or s[0] >= b for s in base[i : i + 64]):
             out.append((a, b))
-    return out
+    return list(dict.fromkeys(out))
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-_MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("pattern", pa.string())])
+_MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py() or ""
             base = base_spans(text)
             found = [(k, a, b) for a, b, k in base] + [(None, a, b) for a, b in candidates(text, base)]
-            mentions = [{"kind": k, "start": a, "end": b, "instance": instance(text[a:b]), "pattern": context(text, a, b)} for k, a, b in found]
+            mentions = [{"kind": k, "start": a, "end": b, "instance": instance(text[a:b]), "patterns": contexts(text, a, b)} for k, a, b in found]
             rows.append((key, doc, written(base), [sum(s[2] == k for s in base) for k in KINDS], mentions))
         key, doc, base, n, mentions = zip(*rows) if rows else ((),) * 5
         doc = pa.array([d.as_py() for d in doc], batch.schema.field(1).type)
@@ -130,43 +134,53 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def discover(mentions: DataFrame, scratch: Scratch, *, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """``mentions(kind or null, instance, pattern, ...)`` -> ``(pattern, kind)`` of high confidence.
+    """``mentions(kind or null, instance, pattern, ...)`` -> ``(pattern, kind, worth, seeds)`` of high confidence.
 
     Only counts per (pattern, instance) go through the rounds; a frequent
     pattern or instance is summed map-side and joined as one row.
     """
     edges = scratch.save(mentions.groupBy("pattern", "instance", F.col("kind").alias("own")).agg(F.count("*").alias("n")), "edges")
+    free = edges.filter("own is null")
     kinds = edges.filter("own is not null").select("pattern", F.col("own").alias("kind")).distinct()
-    graph = scratch.save(edges.join(kinds, "pattern"), "graph")
-    seed = F.when(F.col("own") == F.col("kind"), 1.0).when(F.col("own").isNotNull(), 0.0)
-    scored = graph.withColumn("score", F.coalesce(seed, F.lit(0.0)))
+    instances = None
     for i in range(rounds):
-        patterns = scored.groupBy("pattern", "kind").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("worth"), F.count(F.when(F.col("own") == F.col("kind"), 1)).alias("seeds"))
+        if instances is None:
+            scored = edges.join(kinds, "pattern").withColumn("reached", F.lit(0.0))
+        else:
+            induced = free.join(instances.filter(F.col("reached") >= min_score), "instance").select("pattern", "kind")
+            scored = edges.join(kinds.unionByName(induced).distinct(), "pattern").join(instances, ["instance", "kind"], "left")
+        score = F.when(F.col("own") == F.col("kind"), 1.0).when(F.col("own").isNotNull(), 0.0).otherwise(F.coalesce("reached", F.lit(0.0)))
+        scored = scored.withColumn("score", score).withColumn("seed", (F.col("own").isNotNull() & (F.col("score") == 1)) | (F.col("own").isNull() & (F.col("score") >= min_score)))
+        patterns = scored.groupBy("pattern", "kind").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("worth"), F.count_if("seed").alias("seeds"))
         patterns = scratch.save(patterns, f"patterns{i}")
         if i + 1 < rounds:
             able = patterns.filter(F.col("seeds") >= min_seeds)
-            instances = graph.filter("own is null").join(able, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("worth").alias("worth"))
-            scored = graph.join(instances, ["instance", "kind"], "left").withColumn("score", F.coalesce(seed, F.col("worth"), F.lit(0.0))).drop("worth")
+            instances = scratch.save(free.join(able, "pattern").groupBy("instance", "kind").agg(F.max("worth").alias("reached")), f"instances{i}")
     good = patterns.filter((F.col("seeds") >= min_seeds) & (F.col("worth") >= min_score))
-    return good.groupBy("pattern").agg(F.max_by("kind", F.struct("worth", "seeds", "kind")).alias("kind"))
+    best = F.max(F.struct("worth", "seeds", "kind")).alias("best")
+    return good.groupBy("pattern").agg(best).select("pattern", "best.kind", "best.worth", "best.seeds")
 
 
 def find_pii(docs: DataFrame, **how) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, n (counts of base spans, in the order of KINDS), base, spans.
 
     base and spans list kind:start:end by start, then kind; spans holds all base
-    spans and the discovered ones. Null texts count as empty. Repeated rows give
+    spans and the discovered ones, less those within another. Null texts count as empty. Repeated rows give
     repeated results; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     slim = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    mention = "struct<kind: string, start: bigint, end: bigint, instance: string, pattern: string>"
+    mention = "struct<kind: string, start: bigint, end: bigint, instance: string, patterns: array<string>>"
     scanned = scratch.save(slim.mapInArrow(_scan, f"key long, doc_id {kind}, base string, n array<long>, mentions array<{mention}>"), "scanned")
     mentions = scanned.select("key", F.explode("mentions").alias("m")).select("key", "m.*")
+    mentions = mentions.withColumn("pattern", F.explode("patterns")).drop("patterns")
     patterns = discover(mentions, scratch, **how)
     new = mentions.filter("kind is null").drop("kind").join(patterns, "pattern")
+    new = new.groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("worth", "seeds", "kind")).alias("kind"))
     new = new.groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("new"))
+    within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    new = new.select("key", F.filter("new", lambda x: ~F.exists("new", lambda y: within(x, y))).alias("new"))
     order = F.array(*[F.lit(k) for k in KINDS])
     rank = lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("place"), x["end"].alias("end"), x["kind"].alias("kind"))
     base = F.transform(F.filter("mentions", lambda m: m["kind"].isNotNull()), rank)
