@@ -1,13 +1,18 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are what strict patterns find (e-mail and IP addresses, card numbers with
-a valid check digit, phone numbers). The words around a mention, on one side or
-both, are its lexical patterns. Spark scores the graph of patterns and instances
-in rounds: a pattern is worth the mean score of the instances it extracts, an
-instance the best of its patterns; seeds stay at 1. An instance that reaches the
-score counts as a seed in the next round and gives its other patterns its kind.
-Patterns of high confidence discover identifiers that the seeds' forms do not
-cover.
+a valid check digit, phone numbers), and tokens of the form of a key or password
+that a machine made, as seeds of the kind ``secret``. The words around a mention,
+on one side or both, are its lexical patterns. Spark scores the graph of patterns
+and instances in rounds: a pattern is worth the mean score of the instances it
+extracts, an instance the best of its patterns; seeds stay at 1. An instance that
+reaches the score counts as a seed in the next round and gives its other patterns
+its kind. Patterns of high confidence discover identifiers that the seeds' forms
+do not cover.
+
+A seed of the four strict kinds is personal data wherever it stands. One of the
+kind ``secret`` is reported only where a pattern of high confidence surrounds it:
+the form alone, which a checksum has too, proves nothing.
 
 Texts are scanned once, in a narrow pass that keeps per document the base spans
 and the identifier-shaped tokens with their contexts; all later rounds run on
@@ -21,12 +26,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind that only the method finds, and the order of kinds at one place.
+SECRET = "secret"
+ORDER = (*KINDS, SECRET)
 ROUNDS = 3
 #: A pattern must have this many different seeds and this score to discover anything.
 MIN_SEEDS = 3
@@ -40,7 +48,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_SHAPED = re.compile(r"[^\s,;()<>\"']*[0-9@][^\s,;()<>\"']*")
+_SHAPED = re.compile(r"[^\s,;()<>\"']+")
+_DIGIT_OR_AT = re.compile(r"[0-9@]")
+#: A key or password made by a machine: so many characters, of these, with letters and digits.
+_SECRET = re.compile(r"[A-Za-z0-9_+/=-]{20,512}")
+SECRET_DIGITS = SECRET_LETTERS = 4
 # Groups of digits joined by single spaces, dots, hyphens or parentheses; possessive, so that runs are tried once.
 _GROUPS = re.compile(r"(?<![0-9])\(?[0-9]++(?:(?:\)[ .-]?|[ .-]\(?|\()[0-9]++)+")
 _TOKEN = re.compile(r"\w+")
@@ -97,10 +109,18 @@ def instance(identifier: str) -> str:
     return low if len(low) <= INSTANCE_CHARS else hashlib.sha256(low.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def secret(token: str) -> bool:
+    """Whether a token has the form of a machine-made key."""
+    if not _SECRET.fullmatch(token):
+        return False
+    return sum(c.isdigit() for c in token) >= SECRET_DIGITS and sum(c.isalpha() for c in token) >= SECRET_LETTERS
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Identifier-shaped tokens and runs of digit groups outside the base spans: six or more characters, with three digits or an @."""
     out, i = [], 0
-    for a, b in sorted({m.span() for form in (_SHAPED, _GROUPS) for m in form.finditer(text)}):
+    shaped = {m.span() for m in _SHAPED.finditer(text) if m.end() - m.start() >= 6 and _DIGIT_OR_AT.search(m[0])}
+    for a, b in sorted(shaped | {m.span() for m in _GROUPS.finditer(text)}):
         while a < b and text[b - 1] in ".:!?*#$%&|":
             b -= 1
         if b - a < 6 or ("@" not in text[a:b] and sum(c.isdigit() for c in text[a:b]) < 3):
@@ -116,7 +136,7 @@ def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-_MENTION = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+_MENTION = pa.struct([("kind", pa.string()), ("seed", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +145,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             text = text.as_py() or ""
             base = base_spans(text)
-            found = [(k, a, b) for a, b, k in base] + [(None, a, b) for a, b in candidates(text, base)]
-            mentions = [{"kind": k, "start": a, "end": b, "instance": instance(text[a:b]), "patterns": contexts(text, a, b)} for k, a, b in found]
+            found = [(k, k, a, b) for a, b, k in base]
+            found += [(None, SECRET if secret(text[a:b]) else None, a, b) for a, b in candidates(text, base)]
+            mentions = [
+                {"kind": k, "seed": seed, "start": a, "end": b, "instance": instance(text[a:b]), "patterns": contexts(text, a, b)}
+                for k, seed, a, b in found
+            ]
             rows.append((key, doc, written(base), [sum(s[2] == k for s in base) for k in KINDS], mentions))
         key, doc, base, n, mentions = zip(*rows) if rows else ((),) * 5
         doc = pa.array([d.as_py() for d in doc], batch.schema.field(1).type)
@@ -134,12 +158,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def discover(mentions: DataFrame, scratch: Scratch, *, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """``mentions(kind or null, instance, pattern, ...)`` -> ``(pattern, kind, worth, seeds)`` of high confidence.
+    """``mentions(seed kind or null, instance, pattern, ...)`` -> ``(pattern, kind, worth, seeds)`` of high confidence.
 
     Only counts per (pattern, instance) go through the rounds; a frequent
     pattern or instance is summed map-side and joined as one row.
     """
-    edges = scratch.save(mentions.groupBy("pattern", "instance", F.col("kind").alias("own")).agg(F.count("*").alias("n")), "edges")
+    edges = scratch.save(mentions.groupBy("pattern", "instance", F.col("seed").alias("own")).agg(F.count("*").alias("n")), "edges")
     free = edges.filter("own is null")
     kinds = edges.filter("own is not null").select("pattern", F.col("own").alias("kind")).distinct()
     instances = None
@@ -162,28 +186,37 @@ def discover(mentions: DataFrame, scratch: Scratch, *, rounds: int = ROUNDS, min
 
 
 def find_pii(docs: DataFrame, **how) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> doc_id, n (counts of base spans, in the order of KINDS), base, spans.
+    """``docs(doc_id, text, ...)`` -> doc_id, n (counts of base spans, in the order of KINDS), n_found, base, spans.
 
     base and spans list kind:start:end by start, then kind; spans holds all base
-    spans and the discovered ones, less those within another. Null texts count as empty. Repeated rows give
-    repeated results; an empty table gives none.
+    spans and the ``n_found`` discovered ones, less those within another. Null
+    texts count as empty. Repeated rows give repeated results; an empty table
+    gives none.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     slim = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    mention = "struct<kind: string, start: bigint, end: bigint, instance: string, patterns: array<string>>"
-    scanned = scratch.save(slim.mapInArrow(_scan, f"key long, doc_id {kind}, base string, n array<long>, mentions array<{mention}>"), "scanned")
+    mention = "struct<kind: string, seed: string, start: bigint, end: bigint, instance: string, patterns: array<string>>"
+    scanned = slim.mapInArrow(_scan, f"key long, doc_id {kind}, base string, n array<long>, mentions array<{mention}>")
+    scanned = scratch.save(scanned, "scanned")
     mentions = scanned.select("key", F.explode("mentions").alias("m")).select("key", "m.*")
     mentions = mentions.withColumn("pattern", F.explode("patterns")).drop("patterns")
     patterns = discover(mentions, scratch, **how)
     new = mentions.filter("kind is null").drop("kind").join(patterns, "pattern")
     new = new.groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("worth", "seeds", "kind")).alias("kind"))
+    # A span is within another if one that begins no later, longest first, ends no earlier.
+    before = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("reach", F.max("end").over(before)).filter("reach is null or reach < end")
     new = new.groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("new"))
-    within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
-    new = new.select("key", F.filter("new", lambda x: ~F.exists("new", lambda y: within(x, y))).alias("new"))
-    order = F.array(*[F.lit(k) for k in KINDS])
-    rank = lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("place"), x["end"].alias("end"), x["kind"].alias("kind"))
-    base = F.transform(F.filter("mentions", lambda m: m["kind"].isNotNull()), rank)
-    spans = F.array_sort(F.concat(base, F.transform(F.coalesce("new", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")), rank)))
+    order = F.array(*[F.lit(k) for k in ORDER])
+
+    def ranked(x: Column) -> Column:
+        place = F.array_position(order, x["kind"]).alias("place")
+        return F.struct(x["start"].alias("start"), place, x["end"].alias("end"), x["kind"].alias("kind"))
+
+    base = F.transform(F.filter("mentions", lambda m: m["kind"].isNotNull()), ranked)
+    found = F.transform(F.coalesce("new", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")), ranked)
+    spans = F.array_sort(F.concat(base, found))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return scanned.join(new, "key", "left").select("doc_id", "n", "base", text.alias("spans"))
+    count = F.coalesce(F.array_size("new"), F.lit(0)).cast("long")
+    return scanned.join(new, "key", "left").select("doc_id", "n", count.alias("n_found"), "base", text.alias("spans"))

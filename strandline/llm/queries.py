@@ -63,7 +63,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_pii(documents(spark, sf_dir))
-    return rows.select("doc_id", *[F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return rows.select("doc_id", *[F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2("base", 256).alias("base_sha256"), "spans", "n_found")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
