@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.graph import components
 from strandline.llm.scratch import Scratch
+from strandline.llm.similar import SHINGLE, SIMILARITY, similar_nodes
 from strandline.llm.words import word_runs
 
 RADIUS = 3
@@ -167,10 +168,14 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return kept.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float | None = SIMILARITY, **how) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the smallest doc_id stays.
 
-    Columns stay as they are. Each component keeps exactly one row, whether its
-    doc_id is null or is another text's too.
+    Texts are linked at a shingle similarity of ``similarity`` or more, or, if it
+    is None, by fingerprints as in ``simhash_groups``. Columns stay as they are.
+    Each component keeps exactly one row, whether its doc_id is null or is
+    another text's too. Texts without words are one component.
     """
-    return one_of_each(docs, _groups(docs, **how))
+    if similarity is None:
+        return one_of_each(docs, _groups(docs, shingle=shingle, **how))
+    return one_of_each(docs, similar_nodes(docs, shingle=shingle, similarity=similarity))
