@@ -154,7 +154,8 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     same = placed["source"].eqNullSafe(starts["s"]) & (placed["row_key"] == starts["k"]) & placed["doc_id"].eqNullSafe(starts["d"])
     counts = placed.join(starts, same, "left").withColumn("times", F.when(F.col("size") == 0, 1).otherwise(F.coalesce("times", F.lit(0))))
     # Repeated rows (equal id, source and text) pool their times and share them evenly, rounded up.
-    counts = counts.groupBy("doc_id", "source", "tie").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tie").alias("_t"), "_times", "_rows")
-    on = docs["doc_id"].eqNullSafe(counts["_d"]) & docs["source"].eqNullSafe(counts["_s"]) & (F.xxhash64(docs["text"]) == counts["_t"])
-    joined = docs.join(counts, on).withColumn("_copies", F.ceil(F.col("_times") / F.col("_rows")).cast("int")).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    counts = counts.groupBy("doc_id", "source", "tie").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    counts = counts.select("doc_id", "source", "tie", F.ceil(F.col("times") / F.col("rows")).cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.xxhash64("text").alias("t"))
+    same = rows["d"].eqNullSafe(counts["doc_id"]) & rows["s"].eqNullSafe(counts["source"]) & (rows["t"] == counts["tie"])
+    return rows.join(counts, same).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

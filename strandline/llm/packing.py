@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 MAX_TOKENS = 2048
@@ -126,6 +127,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_tokens:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+PIECE = [("start", "long"), ("length", "long"), ("ids", "binary"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("bucket", "int")]
+
+
 def pack_power_of_two(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row per piece.
 
@@ -139,7 +143,9 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID,
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
     key = docs.schema["doc_id"].dataType
-    fields = [("doc_id", key), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("bucket", T.IntegerType())]
-    out = T.StructType([T.StructField(n, t) for n, t in fields])
-    arrow = pa.schema([(n, {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[t.simpleString()]) for n, t in fields])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _pack(it, tokenizer, end_id, max_tokens, arrow), out)
+    out = T.StructType().add("doc_id", key)
+    for name, kind in PIECE:
+        out = out.add(name, kind)
+    arrow = to_arrow_schema(out)
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(lambda it: _pack(it, tokenizer, end_id, max_tokens, arrow), out)

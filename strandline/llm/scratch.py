@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,14 +13,31 @@ from strandline.session import with_workers
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset, in local mode, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Folders of the open ``made_within`` blocks.
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def made_within() -> Iterator[None]:
+    """Delete, at the end, the tables of all operators that begin within; their results must be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch.delete()
+
+
 class Scratch:
     """A folder of parquet tables for one run of an operator.
 
@@ -30,6 +49,12 @@ class Scratch:
         self.spark = with_workers(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if _open:
+            _open[-1].append(self)
+
+    def delete(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def place(self, name: str) -> str:
         self.count += 1

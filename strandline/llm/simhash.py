@@ -162,10 +162,11 @@ def _groups(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS, bucket_r
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``groups(doc_id, text_key, root)`` for all rows of ``docs`` -> one row for each root: the smallest doc_id, null ones last, then text_key."""
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("at"))
-    first = first.select(F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key"))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(docs["text"]) == first["_key"]), "left_semi")
+    first = first.select(F.col("at.doc_id").alias("their_id"), F.col("at.text_key").alias("their_key"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    same = rows["own_id"].eqNullSafe(first["their_id"]) & (rows["own_key"] == first["their_key"])
     # What is left under one id and text is one text, and a single row of it is enough.
-    return kept.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return rows.join(first, same, "left_semi").dropDuplicates(["own_id", "own_key"]).select("row.*")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float | None = SIMILARITY, **how) -> DataFrame:
