@@ -127,7 +127,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_tokens:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-PIECE = [("start", "long"), ("length", "long"), ("ids", "binary"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("bucket", "int")]
+PIECE = [("start", "long"), ("length", "long"), ("ids", "binary"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("bucket", "integer")]
 
 
 def pack_power_of_two(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, max_tokens: int = MAX_TOKENS) -> DataFrame:

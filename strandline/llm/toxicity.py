@@ -68,11 +68,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     labels or ids that are null are left out.
     """
     known = known_labels(labels, label, allowed)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.filter("y = 1").orderBy(*order).limit(rows).unionByName(known.filter("y = 0").orderBy(*order).limit(rows))
-    picked = picked.select(F.col("doc_id").alias("_id"), "y")
+    hashed, picked = F.xxhash64("doc_id"), None
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    for y in (1, 0):
+        # Twice the share that is wanted, so that what is sorted does not grow with the labels.
+        share = min(1.0, 2 * rows / max(1, counts.get(y, 0)))
+        few = known.filter(F.col("y") == y).filter(hashed <= min(int(share * 2**64) - 2**63, 2**63 - 1))
+        few = few.orderBy(hashed, "doc_id").limit(rows).select(F.col("doc_id").alias("picked_id"), "y")
+        picked = few if picked is None else picked.unionByName(few)
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= chars)
-    return slim.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    return slim.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "text", "y")
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

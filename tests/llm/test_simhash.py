@@ -97,7 +97,7 @@ def test_groups_against_all_pairs(spark, docs):
     fps = [plain_fingerprint(t or "") for _, t in rows]
     want = least_reachable(fps, [i for i, _ in rows])
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.fp & (2**64 - 1), r.component_id) for r in got) == sorted(((i is None, i or 0), f, c) for (i, _), f, c in zip(rows, fps, want))
-    kept = keep_one(docs(rows))
+    kept = keep_one(docs(rows), similarity=None, shingle=3)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
