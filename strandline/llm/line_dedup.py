@@ -21,8 +21,8 @@ the shortest lines of a class take part in the class below too. Variants are
 emitted only for lines that share such a half with a line of the same length or
 of one word more or less, and only for words outside that half.
 
-DataFrame functions only. Texts are shuffled once, line by line. Lines, halves and
-variants that very many rows share are joined where those rows lie (``spread``).
+DataFrame functions only. Texts are shuffled once, line by line. The rows
+of lines, halves and variants that very many share are dealt over tasks (``spread``).
 """
 
 from __future__ import annotations
@@ -31,27 +31,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.scratch import Scratch
-from strandline.llm.spread import join_salted, join_spread
+from strandline.llm.spread import join_spread
 
 MIN_WORDS = 5
 
 
-def _single_spaced(raw: str) -> Column:
-    """A line's words in lower case with single spaces; '' for a blank one."""
-    spaced = F.lit(False)
-    for odd in ("  ", "\t", "\r", "\x0b", "\f"):
-        spaced = spaced | F.contains(raw, F.lit(odd))
-    return F.trim(F.lower(F.when(spaced, F.regexp_replace(raw, r"\s+", " ")).otherwise(F.col(raw))))
-
-
 def line_units(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, text_key, line, words, n)``: n words in lower case, with single spaces; blank lines have none.
 
     A line is one unit, however long it is.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    lines = keyed.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("doc_id", "text_key", "line", _single_spaced("raw").alias("words"))
+    odd = F.lit(False)
+    for c in ("\t", "\r", "\x0b", "\f"):
+        odd = odd | F.contains("text", F.lit(c))
+    # Case and odd spaces are seen to in the whole text, which is one call and not one for every line.
+    plain = F.lower(F.when(odd, F.translate("text", "\t\r\x0b\f", "    ")).otherwise(F.col("text")))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(plain, "\n")).alias("line", "raw"))
+    single = F.trim(F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw")))
+    # As rows of their own, the words are made once, not again for every filter and hash on them.
+    lines = lines.select("doc_id", "text_key", "line", F.explode(F.array(single)).alias("words"))
     spaces = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit("")))
     return lines.withColumn("n", F.when(F.col("words") == "", 0).otherwise(spaces + 1))
 
@@ -167,7 +165,8 @@ def _near(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.save(pairs, "pairs")
     mine = lines.select("h1", "h2", F.split("words", " ").alias("own")).dropDuplicates(["h1", "h2"])
     theirs = mine.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("own").alias("other"))
-    checked = join_salted(pairs, theirs, ["g1", "g2"], pairs.count()).join(mine, ["h1", "h2"]).filter(one_edit("own", "other"))
+    theirs = pairs.groupBy("g1", "g2").agg(F.count("*").alias("met")).join(theirs, ["g1", "g2"])
+    checked = join_spread(pairs, theirs, ["g1", "g2"], "met", pairs.count()).join(mine, ["h1", "h2"]).filter(one_edit("own", "other"))
     return checked.groupBy("h1", "h2").agg(F.min("witness.at").alias("witness"))
 
 

@@ -1,4 +1,4 @@
-"""Joins whose hot keys are matched where their rows lie, without a shuffle of these."""
+"""Joins that deal the rows of a hot key over several tasks."""
 
 from __future__ import annotations
 
@@ -17,29 +17,16 @@ def hot_edge(total: int) -> int:
 
 
 def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``groups``, one row per key of bounded width, whose ``size`` is the key's count in rows.
+    """Inner join of ``rows`` with ``groups``, one row per key, whose ``size`` is the key's count in rows.
 
-    The groups of hot keys, at most ``HOT_KEYS`` by their share of ``total``,
-    are broadcast. The rest is joined by a shuffle in which no key stands out.
-    """
-    hot = groups.filter(F.col(size) > hot_edge(total)).drop(size)
-    cold = groups.filter(F.col(size) <= hot_edge(total)).drop(size)
-    there = rows.join(F.broadcast(hot), keys)
-    other = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
-    return there.unionByName(other)
-
-
-def join_salted(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, one row per key of any width.
-
-    A hot key's row is repeated once for every ``hot_edge`` rows that it meets,
-    and these are dealt over the repeats. Only the hot keys, at most
-    ``HOT_KEYS``, are broadcast.
+    The row of a hot key is repeated once for every ``hot_edge`` rows that it
+    meets, and these are dealt over the repeats. Only hot keys and their numbers
+    of repeats are broadcast: at most ``HOT_KEYS``, by their share of ``total``.
     """
     edge = hot_edge(total)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_met")).filter(F.col("_met") > edge)
-    hot = F.broadcast(counts.select(*keys, F.ceil(F.col("_met") / edge).cast("int").alias("_salts")))
-    dealt = rows.join(hot, keys, "left")
-    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns]), F.coalesce("_salts", F.lit(1))).cast("int"))
-    repeated = table.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-    return dealt.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"]).drop("_salt")
+    repeats = F.greatest(F.lit(1), F.ceil(F.col(size) / edge)).cast("int")
+    hot = groups.filter(F.col(size) > edge).select(*keys, repeats.alias("_repeats"))
+    dealt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_repeats", F.lit(1))).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", dealt).drop("_repeats")
+    right = groups.withColumn("_deal", F.explode(F.sequence(F.lit(0), repeats - 1))).drop(size)
+    return left.join(right, [*keys, "_deal"]).drop("_deal")
