@@ -48,8 +48,8 @@ def mode_time(df: DataFrame, unit: str = "day", *, max_gap_s: int = MAX_GAP_S, i
 def with_episodes(df: DataFrame, unit: str = "day", *, max_gap_s: int = MAX_GAP_S, linger_ms: int = LINGER_MS, include_open: bool = False) -> DataFrame:
     """The active records, each with its episode's number in its window.
 
-    An episode ends where two records in a row are more than ``max_gap_s``
-    apart, or a record without activity comes more than ``linger_ms`` after the
+    An episode ends where two records in a row are more than ``max_gap_s`` whole
+    seconds apart, or a record without activity comes more than ``linger_ms`` after the
     last active one, and with the window.
     """
     w = with_window(df, unit, first_zone=False)
@@ -58,7 +58,7 @@ def with_episodes(df: DataFrame, unit: str = "day", *, max_gap_s: int = MAX_GAP_
     active = is_active("mode")
     gap = ms("ts") - F.lag(ms("ts")).over(order)
     last = F.last(F.when(active, ms("ts")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ends = (gap > max_gap_s * 1000) | (~active & (ms("ts") - last > linger_ms))
+    ends = (F.floor(gap / 1000) > max_gap_s) | (~active & (ms("ts") - last > linger_ms))
     w = w.withColumn("_active", active).withColumn("_cut", F.sum(F.coalesce(ends, F.lit(False)).cast("int")).over(order))
     return w.filter("_active").withColumn("episode", F.dense_rank().over(order.orderBy("_cut"))).drop("_active", "_cut")
 
@@ -105,6 +105,18 @@ def summarise(episodes_: DataFrame, *, min_s: int = MIN_SPEED_S) -> DataFrame:
     return episodes_.groupBy("user_key", "win_begin").agg(F.sum("miles").alias("miles"), F.coalesce(F.sum(F.when(known, F.col("steps"))), F.lit(-1)).alias("steps"), F.coalesce(F.max(mph), F.lit(-1.0)).alias("max_mph"))
 
 
+def daily_summary(df: DataFrame, unit: str = "day", *, min_s: int = MIN_SPEED_S, include_open: bool = False, **how) -> DataFrame:
+    """``mode_time`` of each window beside the miles, fastest mph and number of its episodes (0, -1 and 0 without any).
+
+    The records bring no steps, so these are -1.
+    """
+    walked = episode_distance(df, unit, include_open=include_open, **how).withColumn("steps", F.lit(-1))
+    count = walked.groupBy("user_key", "win_begin").agg(F.count("*").alias("episodes"))
+    whole = summarise(walked, min_s=min_s).join(count, ["user_key", "win_begin"])
+    out = mode_time(df, unit, include_open=include_open).join(whole, ["user_key", "win_begin"], "left")
+    return out.fillna({"miles": 0.0, "steps": -1, "max_mph": -1.0, "episodes": 0})
+
+
 def segment_summary(df: DataFrame, unit: str = "day", *, include_open: bool = False) -> DataFrame:
     """Per window of segments(start, end, activities): seconds by kind, miles and steps of the active ones, episodes."""
     state = F.transform("activities", lambda a: F.struct(group_state(a["group"]).alias("state"), a["duration"].alias("s"), a["distance"].alias("m"), a["steps"].alias("steps"), a["start"].alias("start"), a["end"].alias("end")))

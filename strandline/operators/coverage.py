@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.times import FIXED_MS, local, ms
+from strandline.functions.times import FIXED_MS, local, ms, window_begin, window_end
 from strandline.operators.windows import closed_only, with_window
 
 MAX_GAP_MS = 420_000
@@ -25,7 +25,7 @@ def mobility_coverage(df: DataFrame, unit: str = "hour", *, max_gap_ms: int = MA
     gap = ms("ts") - F.lag(ms("ts")).over(Window.partitionBy("user_key").orderBy("ts", "seq"))
     held = with_window(df.withColumn("_gap", gap), unit, first_zone=False)
     out = held.groupBy("user_key", "win_begin", "win_end").agg(F.coalesce(F.sum(F.when(F.col("_gap") < max_gap_ms, F.col("_gap"))), F.lit(0)).alias("_ms"))
-    out = out.withColumn("coverage", clamp(F.col("_ms") / (FIXED_MS[unit] - 1), strict=strict)).drop("_ms")
+    out = out.withColumn("coverage", clamp(F.col("_ms") / (ms("win_end") - ms("win_begin")), strict=strict)).drop("_ms")
     return out if include_open else closed_only(out)
 
 
@@ -35,13 +35,20 @@ def segment_coverage(df: DataFrame, unit: str = "hour", *, include_open: bool =
     Past a window's last millisecond the interval goes on one millisecond later.
     Windows that nothing covers have no row.
     """
-    size = FIXED_MS[unit]
-    # Windows are cut in wall-clock milliseconds, which is exact for units up to a day.
-    a, b = ms(local("start", "tz")), ms(local("end", "tz"))
-    spans = df.select("user_key", a.alias("a"), b.alias("b")).filter("a <= b")
-    first, last = F.floor(F.col("a") / size), F.floor(F.col("b") / size)
-    cut = spans.withColumn("w", F.explode(F.sequence(first, last)))
-    low, high = F.greatest(F.col("a"), F.col("w") * size), F.least(F.col("b"), (F.col("w") + 1) * size - 1)
-    out = cut.groupBy("user_key", "w").agg(F.sum(high - low).alias("_ms")).filter("_ms > 0")
-    out = out.select("user_key", F.timestamp_millis(F.col("w") * size).alias("win_begin"), F.timestamp_millis((F.col("w") + 1) * size - 1).alias("win_end"), clamp(F.col("_ms") / (size - 1), strict=strict).alias("coverage"))
+    # Windows are cut in wall-clock time, which is exact for units up to a day.
+    a, b = local("start", "tz"), local("end", "tz")
+    spans = df.select("user_key", a.alias("a"), b.alias("b")).filter(ms("a") <= ms("b"))
+    if unit in FIXED_MS:
+        size = FIXED_MS[unit]
+        steps = F.sequence(F.floor(ms("a") / size), F.floor(ms("b") / size))
+        cut = spans.withColumn("w", F.explode(steps)).withColumn("win_begin", F.timestamp_millis(F.col("w") * size)).drop("w")
+    else:
+        months = {"month": 1, "year": 12}[unit]
+        steps = F.sequence(window_begin(F.col("a"), unit), window_begin(F.col("b"), unit), F.make_interval(months=F.lit(months)))
+        cut = spans.withColumn("win_begin", F.explode(steps))
+    cut = cut.withColumn("win_end", window_end(F.col("win_begin"), unit))
+    held = F.least(ms("b"), ms("win_end")) - F.greatest(ms("a"), ms("win_begin"))
+    out = cut.groupBy("user_key", "win_begin", "win_end").agg(F.sum(held).alias("_ms")).filter("_ms > 0")
+    share = clamp(F.col("_ms") / (ms("win_end") - ms("win_begin")), strict=strict)
+    out = out.select("user_key", "win_begin", "win_end", share.alias("coverage"))
     return out if include_open else closed_only(out)

@@ -71,7 +71,7 @@ def corrected_batches(pdf: pd.DataFrame, min_batch: int, drive_verify_ms: int, d
     for a, b in zip([0, *ends], ends):
         if b - a >= min_batch:
             out[a:b] = corrected(modes[a:b], t[a:b], lat[a:b], lng[a:b], drive_verify_ms, drive_km)
-    return pdf[["user_key", "seq", "ts", "lat", "lng", "mode"]].assign(rectified=out)
+    return pdf[["user_key", "seq", "ts", "tz", "lat", "lng", "accuracy", "mode"]].assign(rectified=out)
 
 
 def rectify(df: DataFrame, *, max_gap_s: float = MAX_GAP_S, max_still: int = MAX_STILL, min_batch: int = MIN_BATCH, drive_verify_ms: int = DRIVE_VERIFY_MS, drive_km: float = DRIVE_KM, include_open: bool = False) -> DataFrame:
@@ -79,10 +79,15 @@ def rectify(df: DataFrame, *, max_gap_s: float = MAX_GAP_S, max_still: int = MAX
 
     UNKNOWN records are dropped. A located DRIVE that stays within ``drive_km``
     of all records within ``drive_verify_ms`` counts as WALK if one of them
-    walks, else as STILL. Each user's last batch is still open and has no rows.
+    walks, else as STILL. Zone and accuracy go along, null where there are none. Each user's last batch is still open and has no rows.
     """
     held = with_batches(drop_unknown(df), max_gap_s=max_gap_s, max_still=max_still).withColumn("_ms", ms("ts"))
     if not include_open:
         held = held.withColumn("_last", F.max("batch").over(Window.partitionBy("user_key"))).filter("batch < _last")
     key = df.schema["user_key"].dataType.simpleString()
-    return held.select("user_key", "batch", "seq", "ts", "_ms", "lat", "lng", "mode").groupBy("user_key", F.expr(f"batch div {BATCHES_IN_GROUP}")).applyInPandas(lambda pdf: corrected_batches(pdf, min_batch, drive_verify_ms, drive_km), f"user_key {key}, seq long, ts timestamp, lat double, lng double, mode string, rectified string")
+    for name, kind in (("tz", "string"), ("accuracy", "double")):
+        held = held if name in held.columns else held.withColumn(name, F.lit(None).cast(kind))
+    held = held.select("user_key", "batch", "seq", "ts", "_ms", "tz", "lat", "lng", "accuracy", "mode")
+    schema = f"user_key {key}, seq long, ts timestamp, tz string, lat double, lng double, accuracy double, mode string, rectified string"
+    groups = held.groupBy("user_key", F.expr(f"batch div {BATCHES_IN_GROUP}"))
+    return groups.applyInPandas(lambda pdf: corrected_batches(pdf, min_batch, drive_verify_ms, drive_km), schema)

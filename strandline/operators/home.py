@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.times import local, ms
@@ -15,7 +15,7 @@ DAY_S = 86_400
 _OUT = "win_begin timestamp, at timestamp, leave timestamp, return timestamp, home_s long, home_lat double, home_lng double"
 
 
-def _stay(home: list[bool], start: list[int], end: list[int]) -> tuple[int, int]:
+def _stay(home: list[bool]) -> tuple[int, int]:
     """Home rows at the front and at the back, not counting one twice."""
     front = next((i for i, h in enumerate(home) if not h), len(home))
     back = next((i for i, h in enumerate(reversed(home)) if not h), len(home))
@@ -38,7 +38,7 @@ def _mobility_day(pdf: pd.DataFrame) -> pd.DataFrame:
     if not (first["_first_hour"] <= LATEST_FIRST_HOUR and last["_last_hour"] >= EARLIEST_LAST_HOUR and spans > MIN_SPAN_S and first["place_id"] == last["place_id"]):
         return none
     home = ((day["state"] == "Place") & (day["place_id"] == first["place_id"])).tolist()
-    front, back = _stay(home, [], [])
+    front, back = _stay(home)
     if front == len(day):
         return _row(pdf, last["end"], pd.NaT, pd.NaT, DAY_S, first["lat"], first["lng"])
     leave, ret = day.iloc[front - 1], day.iloc[len(day) - back]
@@ -47,6 +47,12 @@ def _mobility_day(pdf: pd.DataFrame) -> pd.DataFrame:
     return _row(pdf, last["end"], leave["end"], ret["start"], millis // 1000, first["lat"], first["lng"])
 
 
+def _day_ends() -> list[Column]:
+    """Instants of the window's first and last millisecond; the offset may change between them."""
+    at = lambda wall: ms(F.to_utc_timestamp(wall, F.col("tz")))
+    return [at(F.col("win_begin")).alias("_win0"), (at(F.timestamp_millis(ms("win_end") + 1)) - 1).alias("_win1")]
+
+
 def home_time(segments: DataFrame, *, include_open: bool = False) -> DataFrame:
     """Places and trips (state, start, end, place_id, lat, lng) -> one row per user and day at home.
 
@@ -58,8 +64,7 @@ def home_time(segments: DataFrame, *, include_open: bool = False) -> DataFrame:
     """
     held = with_window(segments.withColumn("ts", F.col("start")).withColumn("seq", F.col("segment")), "day", first_zone=False)
     held = held if include_open else closed_only(held)
-    shift = ms(local("start", "tz")) - ms("start")
-    held = held.select("user_key", "win_begin", "state", "start", "end", F.coalesce("place_id", F.lit(-1)).alias("place_id"), "lat", "lng", ms("start").alias("_a"), ms("end").alias("_b"), F.hour(local("start", "tz")).alias("_first_hour"), F.hour(local("end", "tz")).alias("_last_hour"), (ms("win_begin") - shift).alias("_win0"), (ms("win_end") - shift).alias("_win1"))
+    held = held.select("user_key", "win_begin", "state", "start", "end", F.coalesce("place_id", F.lit(-1)).alias("place_id"), "lat", "lng", ms("start").alias("_a"), ms("end").alias("_b"), F.hour(local("start", "tz")).alias("_first_hour"), F.hour(local("end", "tz")).alias("_last_hour"), *_day_ends())
     key = segments.schema["user_key"].dataType.simpleString()
     return held.groupBy("user_key", "win_begin").applyInPandas(_mobility_day, f"user_key {key}, {_OUT}")
 
@@ -80,7 +85,7 @@ def _segment_day(pdf: pd.DataFrame) -> pd.DataFrame:
         return none
     at_home = ((pdf["place_id"] == home_id) | ((pdf["place_type"] == "Home") & pdf["place_id"].notna())).fillna(False).tolist()
     spot = placed[placed["place_id"] == home_id].iloc[0]
-    front, back = _stay(at_home, [], [])
+    front, back = _stay(at_home)
     leave = return_ = pd.NaT
     seconds = DAY_S
     if front and back:
@@ -101,7 +106,6 @@ def segment_home_time(segments: DataFrame, *, include_open: bool = False) -> Dat
     """
     held = with_window(segments, "day", first_zone=False)
     held = held if include_open else closed_only(held)
-    shift = ms(local("ts", "tz")) - ms("ts")
-    held = held.select("user_key", "win_begin", "seq", "ts", "start", "end", F.col("place.id").alias("place_id"), F.col("place.type").alias("place_type"), F.col("place.lat").alias("lat"), F.col("place.lng").alias("lng"), ms("start").alias("_a"), ms("end").alias("_b"), (ms("win_begin") - shift).alias("_win0"), (ms("win_end") - shift).alias("_win1"))
+    held = held.select("user_key", "win_begin", "seq", "ts", "start", "end", F.col("place.id").alias("place_id"), F.col("place.type").alias("place_type"), F.col("place.lat").alias("lat"), F.col("place.lng").alias("lng"), ms("start").alias("_a"), ms("end").alias("_b"), *_day_ends())
     key = segments.schema["user_key"].dataType.simpleString()
     return held.groupBy("user_key", "win_begin").applyInPandas(_segment_day, f"user_key {key}, {_OUT}")

@@ -46,14 +46,16 @@ def rate_limit(df: DataFrame, min_interval_ms: int = 30_000) -> DataFrame:
     What is kept depends on what was kept, which no window can say. Partitions
     sorted by user and time are passed through in batches; a task carries one
     time stamp from row to row, so a user of any length needs no more memory.
+    Records without a user are those of one user.
     """
     keyed = df.withColumn("_ms", ms("ts")).repartition("user_key").sortWithinPartitions("user_key", "_ms", "seq")
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, last = None, 0
+        user, last = object(), 0
         for pdf in batches:
+            users = pdf["user_key"].astype(object).where(pdf["user_key"].notna(), None)
             keep = []
-            for u, t in zip(pdf["user_key"].to_numpy(), pdf["_ms"].to_numpy()):
+            for u, t in zip(users, pdf["_ms"].to_numpy()):
                 ok = u != user or t - last >= min_interval_ms
                 if ok:
                     user, last = u, t

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.geo import distance, np_distance
 from strandline.functions.times import ms
 from strandline.functions.values import is_active
+from strandline.operators.ordering import location_gate
 from strandline.operators.segments import split_by_day
 
 AHEAD_MS = 600_000
@@ -37,6 +38,11 @@ def displacement(df: DataFrame, *, ahead_ms: int = AHEAD_MS) -> DataFrame:
     return df.withColumn("max_m", F.coalesce(F.array_max(metres), F.lit(-1.0))).drop("_ms", "_near", "_last")
 
 
+def by_location_time(df: DataFrame, at: str = "loc_ts") -> DataFrame:
+    """Located records in the order of their location's time, which becomes theirs; older locations are left out."""
+    return location_gate(df, at=at).withColumn("ts", F.col(at))
+
+
 def place_state(df: DataFrame, *, ahead_ms: int = AHEAD_MS) -> DataFrame:
     """Adds ``state``, Place or Moves; between the limits it stays what it was, at first Place."""
     df = displacement(df, ahead_ms=ahead_ms)
@@ -79,14 +85,36 @@ def split_long(df: DataFrame) -> DataFrame:
 
 
 def segment_rows(df: DataFrame) -> DataFrame:
-    """One row per part of a segment: state, start, end, points, and a place's median position; parts of no length have none."""
-    rows = df.groupBy("user_key", "segment", "part", "state").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("points"), F.median("lat").alias("lat"), F.median("lng").alias("lng"), F.min_by("tz", F.struct("ts", "seq")).alias("tz"))
-    at = lambda c: F.when(F.col("state") == "Place", F.col(c)).alias(c)
-    return rows.filter("start < end").select("user_key", "segment", "part", "state", "start", "end", "points", at("lat"), at("lng"), "tz")
+    """One row per part of a segment: state, start, end, points, tz; parts of no length have none.
+
+    A place has its median position (lat, lng), a trip its first and last point
+    (from_lat, from_lng, to_lat, to_lng); the others' are null.
+    """
+    order = F.struct("ts", "seq")
+    rows = df.groupBy("user_key", "segment", "part", "state").agg(
+        F.min("ts").alias("start"),
+        F.max("ts").alias("end"),
+        F.count("*").alias("points"),
+        *[F.median(c).alias(c) for c in ("lat", "lng")],
+        *[F.min_by(c, order).alias(f"from_{c}") for c in ("lat", "lng")],
+        *[F.max_by(c, order).alias(f"to_{c}") for c in ("lat", "lng")],
+        F.min_by("tz", order).alias("tz"),
+    )
+
+    def of(state: str, *names: str) -> list[Column]:
+        return [F.when(F.col("state") == state, F.col(c)).alias(c) for c in names]
+
+    ends = of("Moves", "from_lat", "from_lng", "to_lat", "to_lng")
+    at = of("Place", "lat", "lng")
+    return rows.filter("start < end").select("user_key", "segment", "part", "state", "start", "end", "points", *at, *ends, "tz")
 
 
 def place_segments(df: DataFrame, *, ahead_ms: int = AHEAD_MS, max_gap_ms: int = MAX_GAP_MS, long_split: bool = True, by_day: bool = True, include_open: bool = False) -> DataFrame:
-    """Located records -> places and trips, cut at local midnights."""
+    """Located records -> places and trips, cut at local midnights.
+
+    Records with a ``loc_ts`` go by the time of their location.
+    """
+    df = by_location_time(df) if "loc_ts" in df.columns else df
     held = with_segments(place_state(df, ahead_ms=ahead_ms), max_gap_ms=max_gap_ms, include_open=include_open)
     rows = segment_rows(split_long(held) if long_split else held)
     return split_by_day(rows) if by_day else rows

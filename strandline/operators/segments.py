@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.times import FIXED_MS, local, ms
@@ -26,18 +26,25 @@ def remove_overlap(df: DataFrame) -> DataFrame:
     return cut.filter(F.col("end") > F.col("start")).withColumn("ts", F.col("end")).drop("_next", "_next_end")
 
 
+def midnight_ms(day: Column, tz: str = "tz") -> Column:
+    """Epoch milliseconds of the local midnight that begins a day, given in days since 1970-01-01."""
+    return ms(F.to_utc_timestamp(F.timestamp_millis(day * DAY), F.col(tz)))
+
+
 def split_by_day(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Cuts [start, end] at local midnights: up to the day's last millisecond, then on from the next day's first.
 
     Intervals of no length give no rows.
     """
-    shift = ms(local(start, "tz")) - ms(start)
-    a, b = ms(local(start, "tz")), ms(local(end, "tz"))
-    days = df.withColumn("_a", a).withColumn("_b", b).withColumn("_shift", shift).filter("_a < _b")
-    days = days.withColumn("_d", F.explode(F.sequence(F.floor(F.col("_a") / DAY), F.floor(F.col("_b") / DAY))))
-    low, high = F.greatest(F.col("_a"), F.col("_d") * DAY), F.least(F.col("_b"), (F.col("_d") + 1) * DAY - 1)
+    spans = df.filter(ms(start) < ms(end))
+    days = F.sequence(F.floor(ms(local(start, "tz")) / DAY), F.floor(ms(local(end, "tz")) / DAY))
+    days = spans.withColumn("_d", F.explode(days))
+    # Each midnight is an instant of its own, since the offset may change within the interval.
+    low = F.greatest(ms(start), midnight_ms(F.col("_d")))
+    high = F.least(ms(end), midnight_ms(F.col("_d") + 1) - 1)
     cut = days.withColumn("_lo", low).withColumn("_hi", high).filter("_lo < _hi")
-    return cut.withColumn(start, F.timestamp_millis(F.col("_lo") - F.col("_shift"))).withColumn(end, F.timestamp_millis(F.col("_hi") - F.col("_shift"))).drop("_a", "_b", "_d", "_lo", "_hi", "_shift")
+    cut = cut.withColumn(start, F.timestamp_millis("_lo")).withColumn(end, F.timestamp_millis("_hi"))
+    return cut.drop("_d", "_lo", "_hi")
 
 
 def clip_to_day(df: DataFrame, day: str = "day") -> DataFrame:

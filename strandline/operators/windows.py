@@ -40,9 +40,13 @@ def closed_only(df: DataFrame, *, begin: str = "win_begin") -> DataFrame:
     return df.withColumn("_last", last).filter(F.col(begin) < F.col("_last")).drop("_last")
 
 
-def window_task(df: DataFrame, unit: str, *aggs: Column, include_open: bool = False, n: int = 1) -> DataFrame:
-    """One row per user and window: user_key, win_begin, win_end and the aggregates. Empty windows have none."""
-    out = with_window(df, unit, n=n, first_zone=False).groupBy("user_key", "win_begin", "win_end").agg(*aggs)
+def window_task(df: DataFrame, unit: str, *aggs: Column, include_open: bool = False, n: int = 1, first_zone: bool = False) -> DataFrame:
+    """One row per user and window: user_key, win_begin, win_end and the aggregates. Empty windows have none.
+
+    Each record is in the window of its own zone, or, with ``first_zone``, in
+    that of the window's first record; this takes one more shuffle.
+    """
+    out = with_window(df, unit, n=n, first_zone=first_zone).groupBy("user_key", "win_begin", "win_end").agg(*aggs)
     return out if include_open else closed_only(out)
 
 
@@ -54,6 +58,19 @@ def window_apply(df: DataFrame, unit: str, fn: Callable, schema: str, *, include
     return windows.groupBy("user_key", "win_begin").applyInPandas(fn, schema)
 
 
+def aligned_windows(df: DataFrame, unit: str, *aggs: Column, streams: int, stream: str = "stream", first_zone: bool = False) -> DataFrame:
+    """As ``window_task`` over records of several streams: a window is closed once each of ``streams`` streams has a later record.
+
+    Until a stream has one, the window stays open for its records. Users with
+    fewer streams, and their windows still open, have no rows.
+    """
+    w = with_window(df, unit, first_zone=first_zone)
+    ends = w.groupBy("user_key", stream).agg(F.max("win_begin").alias("reached"))
+    ends = ends.groupBy("user_key").agg(F.min("reached").alias("reached"), F.count("*").alias("met")).filter(F.col("met") == streams)
+    out = w.groupBy("user_key", "win_begin", "win_end").agg(*aggs)
+    return out.join(ends, "user_key").filter("win_begin < reached").drop("reached", "met")
+
+
 def window_stats(df: DataFrame, unit: str = "day", *, include_open: bool = False) -> DataFrame:
     """Per window: first and last time, records, sampling slots in use, median gap (s), share of missing slots."""
     w = with_window(df, unit, first_zone=False)

@@ -284,7 +284,7 @@ d AS (SELECT p.user_key, p.seq, p.ts, p.ms, p.mode, p.lat, p.lng, coalesce(max(C
 s AS (SELECT *, coalesce(last_value(CASE WHEN {_ACTIVE} AND max_m > 100 THEN 'Moves' WHEN max_m > 2000 THEN 'Moves' WHEN max_m < 50 THEN 'Place' END IGNORE NULLS) OVER (PARTITION BY user_key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Place') AS state FROM d)"""
 _EPISODES = f""",
 w AS (SELECT *, {_DAY} AS win_begin FROM g), c AS (SELECT * FROM w QUALIFY win_begin < max(win_begin) OVER (PARTITION BY user_key)),
-f AS (SELECT *, (ms - lag(ms) OVER o > {GAP_S} * 1000) OR (NOT {_ACTIVE} AND ms - last_value(CASE WHEN {_ACTIVE} THEN ms END IGNORE NULLS) OVER (PARTITION BY user_key, win_begin ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 600000) AS ends FROM c WINDOW o AS (PARTITION BY user_key, win_begin ORDER BY ts, seq)),
+f AS (SELECT *, ((ms - lag(ms) OVER o) // 1000 > {GAP_S}) OR (NOT {_ACTIVE} AND ms - last_value(CASE WHEN {_ACTIVE} THEN ms END IGNORE NULLS) OVER (PARTITION BY user_key, win_begin ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 600000) AS ends FROM c WINDOW o AS (PARTITION BY user_key, win_begin ORDER BY ts, seq)),
 h AS (SELECT *, sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY user_key, win_begin ORDER BY ts, seq) AS cut FROM f),
 i AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY user_key, win_begin ORDER BY cut) AS INT) AS episode FROM h WHERE {_ACTIVE})"""
 _DEDUP = MOVES + """,

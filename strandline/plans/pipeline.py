@@ -8,12 +8,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.sources.sinks import write_stream
+from strandline.sources.sinks import wipe, write_stream
 
 
 @dataclass(frozen=True)
 class Config:
-    """dry_run writes nothing; persist keeps frames that feed several tasks; target_root is where target streams go."""
+    """dry_run writes nothing; persist keeps frames that feed several tasks; target_root is where target streams go.
+
+    A cold start deletes what was written there before.
+    """
 
     topology: str = "topology"
     dry_run: bool = False
@@ -86,8 +89,10 @@ class Pipeline:
         for name, task in self.tasks.items():
             if task.target and self.config.target_root:
                 frame = frames[name]
-                at = next((c for c in ("ts", "at", "win_begin") if c in frame.columns), None)
+                at = next((c for c in ("ts", "first_ts", "at", "win_begin") if c in frame.columns), None)
                 keyed = frame.withColumn("ts", F.col(at)) if at else frame
+                if self.config.cold_start and not self.config.dry_run:
+                    wipe(frame.sparkSession, f"{self.config.target_root}/{task.target}")
                 keyed = keyed if "seq" in keyed.columns else keyed.withColumn("seq", F.lit(0))
                 write_stream(keyed, f"{self.config.target_root}/{task.target}", dry_run=self.config.dry_run)
         return frames

@@ -11,7 +11,7 @@ from strandline.plans.pipeline import Config, Pipeline
 
 
 def _rectified(df: DataFrame, **how) -> DataFrame:
-    return hmm.rectify(df, **how).withColumn("mode", F.col("rectified")).withColumn("tz", F.lit("+00:00"))
+    return hmm.rectify(df, **how).withColumn("mode", F.col("rectified"))
 
 
 def _placed(df: DataFrame, **how) -> DataFrame:
@@ -29,7 +29,7 @@ def mobility_pipeline(records: DataFrame, config: Config | None = None, *, inter
         .task("home", home.home_time, source="places", target="leave_return_home_time")
         .task("geodiameter", geodiameter.geodiameter, source="throttled", window="day", target="geodiameter")
         .task("rectified", _rectified, source="throttled")
-        .task("summaries", activity.mode_time, source="rectified", window="day", target="summaries")
+        .task("summaries", activity.daily_summary, source="rectified", window="day", target="summaries")
     )
 
 

@@ -91,6 +91,18 @@ def latest_oauth(tokens: DataFrame, provider: str, scope: str) -> DataFrame:
     return latest(found, ["user_key"], [F.col("ts").desc(), F.col("seq").desc()])
 
 
+def token_store(events: DataFrame) -> DataFrame:
+    """Token events (user_key, seq, ts, provider, scope, token, invalid) -> the valid token of each user, provider and single scope.
+
+    An event stands for every scope that it names, between spaces: a token that
+    was granted or refreshed, or, if ``invalid``, one that the provider refused.
+    The latest event of a scope counts.
+    """
+    single = events.withColumn("scope", F.explode(F.array_distinct(F.filter(F.split("scope", " "), lambda s: s != ""))))
+    best = latest(single, ["user_key", "provider", "scope"], [F.col("ts").desc(), F.col("seq").desc()])
+    return best.filter(~F.coalesce("invalid", F.lit(False))).drop("invalid")
+
+
 def sent_mail(df: DataFrame, since=None) -> DataFrame:
     """Mail rows (sent_time, parts) -> content without attachments, and whether there is one."""
     out = df if since is None else df.filter(F.col("sent_time") >= F.lit(since))

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strandline.functions.times import local, ms, window_begin
 from strandline.functions.values import ACTIVE
-from strandline.sources.sinks import batch_writer
+from strandline.sources.sinks import batch_writer, wipe
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
@@ -111,7 +111,12 @@ def read_stream(spark: SparkSession, path: str, schema, *, format: str = "parque
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
-def run_to_target(df: DataFrame, target: str, checkpoint: str, *, interval: str | None = None, dry_run: bool = False):
-    """Starts the stream into ``target``: to its present end, or on at each ``interval``."""
+def run_to_target(df: DataFrame, target: str, checkpoint: str, *, interval: str | None = None, dry_run: bool = False, cold_start: bool = False):
+    """Starts the stream into ``target``: to its present end, or on at each ``interval``.
+
+    It goes on from its checkpoint; a ``cold_start`` forgets that and what was written.
+    """
+    if cold_start:
+        wipe(df.sparkSession, checkpoint, target)
     writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch_writer(target, dry_run=dry_run))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

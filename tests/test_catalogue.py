@@ -2,8 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from strandline.plans import catalogue
+from strandline.plans import catalogue, catalogue_more
 
+QUERIES = catalogue.queries() | catalogue_more.queries()
+SQL = catalogue.oracle_sql() | catalogue_more.oracle_sql()
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -17,14 +19,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_against_sql(spark, duck, name):
-    df = catalogue.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = df.collect()
-    sql = catalogue.oracle_sql().get(name)
-    if sql is None:
-        return
-    cur = duck.execute(sql)
+    cur = duck.execute(SQL[name])
     columns = [c[0] for c in cur.description]
     assert sorted(columns) == sorted(df.columns)
     rows = lambda them, names: sorted(str([dict(zip(names, r))[c] for c in sorted(names)]) for r in them)
@@ -33,4 +32,4 @@ def test_against_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-    assert set(catalogue.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) == set(SQL) and set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -86,7 +86,7 @@ def test_episodes(spark):
     assert count([(0, "WALK"), (120, "STILL"), (130, "RUN")]) == 1
     assert count([(0, "WALK"), (120.001, "STILL"), (130, "RUN")]) == 2
     assert count([(0, "WALK"), (330, "WALK")]) == 1
-    assert count([(0, "WALK"), (330.001, "WALK")]) == 2
+    assert count([(0, "WALK"), (331, "WALK")]) == 2
 
 
 def test_episode_distance(spark):

@@ -1,5 +1,11 @@
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
 from strandline.operators import activity, ordering
+from strandline.sources import records
 from strandline.sources.records import mobility
+from strandline.sources.sinks import batch_writer, read_target
 from strandline.streaming.stateful import read_stream, run_to_target, stream_active_count, stream_gate
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +29,31 @@ def test_batch_and_stream_agree(spark, tmp_path):
         run_to_target(keyed, f"{at}/out", f"{at}/check").awaitTermination()
         got = spark.read.parquet(f"{at}/out").select(*batch.columns)
         assert sorted(got.collect()) == sorted(batch.collect())
+
+
+def test_hourly_counts_over_restarts(spark, tmp_path):
+    """Ticks of three hours in files with repeats: the stream stops and goes on after each, and counts 1800 an hour."""
+    ticks = records.odd(records.ticks(spark, 1_356_998_400_000, 3 * 3600 + 60)).withColumn("mode", F.lit("WALK"))
+    files = tmp_path / "in"
+
+    def run(**how):
+        stream = stream_active_count(read_stream(spark, f"{files}/*", ticks.schema, max_files=1), "hour")
+        keyed = stream.withColumn("ts", F.col("win_begin")).withColumn("seq", F.lit(0))
+        run_to_target(keyed, f"{tmp_path}/out", f"{tmp_path}/check", **how).awaitTermination()
+        return sorted((r.win_begin.hour, r.active_count) for r in read_target(spark, f"{tmp_path}/out").collect())
+
+    for low, high, want in ((0, 4000, [(0, 1800)]), (3500, 8000, [(0, 1800), (1, 1800)]), (7900, 10860, [(0, 1800), (1, 1800), (2, 1800)])):
+        ticks.filter(f"seq >= {low} and seq < {high}").coalesce(1).write.parquet(f"{files}/{low}")
+        assert run() == want
+    assert run() == want
+    assert run(cold_start=True) == want
+
+
+def test_later_batches_replace(spark, tmp_path):
+    write = batch_writer(str(tmp_path / "t"))
+    rows = lambda *r: spark.createDataFrame(r, "user_key string, seq long, ts timestamp, v int")
+    t0 = datetime(2024, 1, 1)
+    write(rows(("u", 5, t0, 1), ("v", 1, t0, 7)), 0)
+    write(rows(("u", 1, t0, 2), ("u", 3, t0, 3)), 1)
+    write(rows(("u", 1, t0, 2), ("u", 3, t0, 3)), 1)
+    assert sorted((r.user_key, r.v) for r in read_target(spark, str(tmp_path / "t")).collect()) == [("u", 3), ("v", 7)]
