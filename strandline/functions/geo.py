@@ -66,15 +66,16 @@ def kalman(lat: np.ndarray, lng: np.ndarray, accuracy: np.ndarray, ms: np.ndarra
     The variance grows by drift^2 per second between fixes and shrinks by the
     gain var / (var + accuracy^2) at each; it is held in single precision.
     """
-    acc = np.maximum(np.where(np.isnan(accuracy), LEAST_ACCURACY, accuracy), LEAST_ACCURACY)
-    out = np.empty((2, len(lat)))
-    for i in range(len(lat)):
-        if i == 0:
-            at, var = np.array([lat[0], lng[0]]), np.float32(acc[0] ** 2)
-        else:
-            var = np.float32(var + max(0, ms[i] - ms[i - 1]) * drift * drift / 1000)
-            gain = float(var / (var + acc[i] ** 2))
-            at = at + gain * (np.array([lat[i], lng[i]]) - at)
-            var = np.float32((1 - gain) * var)
-        out[:, i] = at
-    return out[0], out[1]
+    acc2 = (np.maximum(np.where(np.isnan(accuracy), LEAST_ACCURACY, accuracy), LEAST_ACCURACY) ** 2).tolist()
+    grown = (np.maximum(0, np.diff(ms)) * drift * drift / 1000).tolist()
+    single = np.float32
+    y, x, var = float(lat[0]), float(lng[0]), single(acc2[0])
+    ys, xs = [y], [x]
+    for a2, more, a, b in zip(acc2[1:], grown, lat[1:].tolist(), lng[1:].tolist()):
+        var = single(float(var) + more)
+        gain = float(var) / (float(var) + a2)
+        y, x = y + gain * (a - y), x + gain * (b - x)
+        var = single(1 - gain) * var
+        ys.append(y)
+        xs.append(x)
+    return np.array(ys), np.array(xs)

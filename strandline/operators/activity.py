@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.geo import kalman, np_distance
 from strandline.functions.times import ms
 from strandline.functions.values import ACTIVE, MILES_PER_METRE, group_state, is_active
-from strandline.operators.windows import closed_only, window_task, with_window
+from strandline.operators.windows import closed_only, some_windows, window_task, with_window
 
 MAX_GAP_S = 330
 LINGER_MS = 120_000
@@ -69,9 +69,11 @@ def episodes(df: DataFrame, unit: str = "day", **how) -> DataFrame:
 
 
 def _walked(pdf: pd.DataFrame, max_mph: float) -> pd.DataFrame:
-    """All episodes of one window."""
-    pdf = pdf.sort_values(["episode", "_ms", "seq"])
-    number, first = np.unique(pdf["episode"].to_numpy(), return_index=True)
+    """All episodes of some windows of one user."""
+    pdf = pdf.sort_values(["win_begin", "episode", "_ms", "seq"])
+    begin, number = pdf["win_begin"].to_numpy(), pdf["episode"].to_numpy()
+    new = (begin[1:] != begin[:-1]) | (number[1:] != number[:-1])
+    first = np.concatenate([[0], np.flatnonzero(new) + 1])
     ends = np.append(first[1:], len(pdf))
     t, lat, lng, acc = pdf["_ms"].to_numpy(np.int64), *(pdf[c].to_numpy(float) for c in ("lat", "lng", "accuracy"))
     fixed = ~np.isnan(lat) & ~np.isnan(lng) & (acc < 100)
@@ -95,7 +97,7 @@ def episode_distance(df: DataFrame, unit: str = "day", *, max_mph: float = MAX_M
     """Per episode: whole seconds, and miles along the Kalman-smoothed fixes of under 100 m, fast steps left out."""
     key = df.schema["user_key"].dataType.simpleString()
     held = with_episodes(df, unit, **how).withColumn("_ms", ms("ts")).select("user_key", "win_begin", "episode", "seq", "ts", "_ms", "lat", "lng", "accuracy")
-    return held.groupBy("user_key", "win_begin").applyInPandas(lambda pdf: _walked(pdf, max_mph), f"user_key {key}, win_begin timestamp, episode int, start timestamp, end timestamp, duration_s long, miles double")
+    return held.groupBy("user_key", some_windows(unit)).applyInPandas(lambda pdf: _walked(pdf, max_mph), f"user_key {key}, win_begin timestamp, episode int, start timestamp, end timestamp, duration_s long, miles double")
 
 
 def summarise(episodes_: DataFrame, *, min_s: int = MIN_SPEED_S) -> DataFrame:

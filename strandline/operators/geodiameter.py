@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.geo import widest_pair
 from strandline.functions.times import ms
 from strandline.operators.ordering import accurate
-from strandline.operators.windows import closed_only, with_window
+from strandline.operators.windows import closed_only, some_windows, with_window
 
 
 def geodiameter(df: DataFrame, unit: str = "day", *, max_accuracy: float = 100, drop_every: int | None = None, include_open: bool = False) -> DataFrame:
@@ -26,13 +27,22 @@ def geodiameter(df: DataFrame, unit: str = "day", *, max_accuracy: float = 100,
     held = accurate(windows, max_accuracy).select("user_key", "win_begin", "seq", "ts", ms("ts").alias("_ms"), "lat", "lng")
 
     def widest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_ms", "seq"])
-        if drop_every:
-            pdf = pdf[(pd.Series(range(1, len(pdf) + 1), index=pdf.index) % drop_every) != 0]
-        if len(pdf[["lat", "lng"]].drop_duplicates()) < 2:
-            return pd.DataFrame(columns=["user_key", "win_begin", "first_ts", "miles", "earlier_seq", "later_seq"])
-        miles, i, j = widest_pair(pdf["lat"].to_numpy(), pdf["lng"].to_numpy())
-        i, j = sorted((i, j))
-        return pd.DataFrame({"user_key": pdf["user_key"].iloc[:1], "win_begin": pdf["win_begin"].iloc[:1], "first_ts": pdf["ts"].iloc[:1], "miles": [miles], "earlier_seq": [pdf["seq"].iloc[i]], "later_seq": [pdf["seq"].iloc[j]]})
-
-    return held.groupBy("user_key", "win_begin").applyInPandas(widest, f"user_key {key}, win_begin timestamp, first_ts timestamp, miles double, earlier_seq long, later_seq long")
+        """Some windows of one user."""
+        pdf = pdf.sort_values(["win_begin", "_ms", "seq"])
+        begin, lat, lng, seq, ts = (pdf[c].to_numpy() for c in ("win_begin", "lat", "lng", "seq", "ts"))
+        cuts = [0, *(np.flatnonzero(begin[1:] != begin[:-1]) + 1).tolist(), len(pdf)]
+        rows = []
+        for a, b in zip(cuts, cuts[1:]):
+            at = np.arange(a, b)
+            if drop_every:
+                at = at[(at - a + 1) % drop_every != 0]
+            if not len(at) or ((lat[at] == lat[at[0]]) & (lng[at] == lng[at[0]])).all():
+                continue
+            miles, i, j = widest_pair(lat[at], lng[at])
+            i, j = sorted((at[i], at[j]))
+            rows.append((begin[a], ts[at[0]], miles, seq[i], seq[j]))
+        out = pd.DataFrame(rows, columns=["win_begin", "first_ts", "miles", "earlier_seq", "later_seq"])
+        return out.assign(user_key=pdf["user_key"].iloc[:1].repeat(len(out)).to_numpy())[["user_key", *out.columns]]
+
+    schema = f"user_key {key}, win_begin timestamp, first_ts timestamp, miles double, earlier_seq long, later_seq long"
+    return held.groupBy("user_key", some_windows(unit)).applyInPandas(widest, schema)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.times import local, ms, window_begin, window_end
+from strandline.functions.times import FIXED_MS, local, ms, window_begin, window_end
 
 #: Slots of sampling in milliseconds.
 SLOT_MS = 30_000
+#: Windows of one user that go to Python together.
+WINDOWS_IN_GROUP = 32
 
 
 def with_window(df: DataFrame, unit: str = "day", *, n: int = 1, compat_epoch: bool = False, first_zone: bool = True) -> DataFrame:
@@ -58,6 +60,11 @@ def window_apply(df: DataFrame, unit: str, fn: Callable, schema: str, *, include
     return windows.groupBy("user_key", "win_begin").applyInPandas(fn, schema)
 
 
+def some_windows(unit: str) -> Column:
+    """A number alike for up to ``WINDOWS_IN_GROUP`` windows in a row, so that short ones do not cost an Arrow group each."""
+    return F.floor(ms("win_begin") / (WINDOWS_IN_GROUP * FIXED_MS.get(unit, 31 * FIXED_MS["day"])))
+
+
 def aligned_windows(df: DataFrame, unit: str, *aggs: Column, streams: int, stream: str = "stream", first_zone: bool = False) -> DataFrame:
     """As ``window_task`` over records of several streams: a window is closed once each of ``streams`` streams has a later record.
 
