@@ -5,8 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandline.llm import hmm_lm, kneser_ney, pii, toxicity
-from strandline.llm.scratch import Scratch
+from strandline.llm import hmm_lm, pii, toxicity
 
 
 def plain_base(text):
@@ -71,18 +70,6 @@ def test_hmm_scores(spark, docs):
     assert hmm_lm.train_and_score(docs([]), F.col("doc_id") < 3).count() == 0
 
 
-def test_kneser_ney_joined_is_dense(spark, docs):
-    table = docs([(i, t) for i, t in enumerate(["the cat sat on the mat", "a cat is a cat", "zzz!", "", None])])
-    scratch = Scratch(spark, "kn")
-    chars, orders = kneser_ney.train(table.limit(2), scratch)
-    model = kneser_ney.dense_model(chars, orders)
-    assert np.allclose((2.0 ** -model["bits"]).sum(axis=1), 1, atol=1e-4)
-    lookup = kneser_ney.symbol_table(chars)
-    want = {r.doc_id: kneser_ney.text_bits(r.text or "", lookup, model) for r in table.collect()}
-    got = {r.key: r.bits for r in kneser_ney.joined_bits(table.select(F.col("doc_id").alias("key"), "text"), chars, orders).collect()}
-    assert all(abs(got.get(k, 0.0) - v) < 1e-3 for k, v in want.items())
-
-
 def test_toxicity(spark, docs):
     rng = random.Random(5)
     rows, labels = [], []
