@@ -123,6 +123,22 @@ def test_quality_against_loops(spark, docs, quality_rows, broadcast_grams):
     assert kept.columns == table.columns and kept.count() == sum(w[6] for w in wanted)
 
 
+def test_quality_learns_from_all_trusted_texts(spark, docs):
+    """More texts than 4000 that fit, and one beyond 200 000 characters: all of them count in the model."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 3) + f" {i}", "en") for i in range(8500)]
+    long = next(i for i in range(9000, 9100) if zlib.crc32(f"{i}/quality".encode()) % 2 == 0)
+    rows.append((long, "zebra qux " * 20_500, "en"))
+    fit = [(i, t) for i, t, _ in rows if zlib.crc32(f"{i}/quality".encode()) % 2 == 0]
+    assert len(fit) > 4000
+    rows.append((9999, "zebra qux river", "en"))
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows if i != 9999], "doc_id long, quality int")
+    got = {r.doc_id: r.bits for r in kneser_ney.score_quality(docs([(*r, "a") for r in rows]), labels).collect()}
+    plain = PlainModel([t for _, t in fit])
+    for i, t, _ in [*rows[:50], rows[-1]]:
+        assert math.isclose(got[i], plain.bits(t), rel_tol=1e-6)
+
+
 def test_discounts_and_back_off(spark, docs):
     rng = random.Random(1)
     texts = [prose(rng, 60) + rng.choice("!?.,;é") for _ in range(20)]
