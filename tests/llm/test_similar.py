@@ -105,6 +105,37 @@ def test_spanning_tree_keeps_clusters():
         same_classes(tree, root)
 
 
+def test_links_that_trees_go_round(spark, docs):
+    """Two of each group are at 0.803, all others below 0.8, and their sketches are no nearer."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(6):
+        base = [f"c{rng.randrange(10**9)}" for _ in range(404)]
+        for tail in [49, 49] + [53] * 30:
+            texts.append(" ".join(base + [f"t{rng.randrange(10**9)}" for _ in range(tail)]))
+    got = {r.doc_id: r.root for r in similar.similar_nodes(docs(list(enumerate(texts)))).collect()}
+    want = plain_roots(texts)
+    assert len(set(want)) == 6 * 31
+    same_classes([got[i] for i in range(len(texts))], want)
+
+
+def test_keys_of_every_pair():
+    """Pairs at the bound have a key in common whatever is frequent, and are never ruled out by profiles."""
+    rng = np.random.default_rng(3)
+    for n in [*range(4, 60), 300, 2000]:
+        for m in {n, n + 1, int(n / 0.8 + 1e-9)}:
+            common = next((c for c in range(min(n, m) + 1) if similar.similar_sets(np.arange(n), np.concatenate([np.arange(c), np.arange(m - c) + 9999]), 0.8)), None)
+            if common is None:
+                continue
+            for _ in range(20):
+                h = np.unique(rng.integers(0, 2**63, n + m).astype(np.uint64))
+                a, b = np.sort(h[:n]), np.sort(np.concatenate([h[:common], h[n : n + m - common]]))
+                frequent = np.sort(rng.choice(h, rng.integers(0, len(h)), replace=False))
+                assert len(np.intersect1d(similar.covering_keys(a, 0.8, frequent), similar.covering_keys(b, 0.8, frequent)))
+                counts = np.frombuffer(similar.profile(a) + similar.profile(b), "u1").reshape(2, -1)
+                assert len(list(similar.crossing_pairs(np.array([1, 2]), np.array([len(a), len(b)]), counts, 0.8))) == 1
+
+
 def test_empty_table_and_ids(spark, docs):
     assert keep_one(docs([])).count() == 0
     rows = [(None, "a b c"), (None, "A b  c"), (3, "a b c"), (4, None), (5, ""), (5, "")]
