@@ -4,9 +4,9 @@ Symbols are the ``vocabulary`` most frequent words of the training documents,
 an end symbol, and classes of rarer words by their last letters. Latent states
 emit symbols; a rare or unknown word w of class C has the probability of C in
 the state times (c(w) + 1) / (N_C + V_C + 1), with the counts of all training
-documents. Baum-Welch runs a few rounds on a share of the training documents to
-set out, then over all of them: every task sums the expected counts of its
-documents, and Spark sums them across tasks. Scoring is the scaled forward
+documents. Every round of Baum-Welch goes over all training documents: each task
+sums the expected counts of its documents, and Spark sums them across tasks, of
+which there are a few per core, whatever the size of the data. Scoring is the scaled forward
 recursion over the whole text.
 
 Documents are whole in training too. Of a long one, the forward state is kept at
@@ -37,10 +37,11 @@ VOCABULARY = 1 << 16
 STATES = 8
 CLASSES = 512
 SUFFIX = 3
-#: The first rounds see so many training documents, or this share of them, if that is more.
-SAMPLE_DOCS, SAMPLE_SHARE = 1500, 1 / 16
+#: Rounds of Baum-Welch, all of them over all training documents; the first ten once saw a sample.
 SAMPLE_ROUNDS = 10
 ROUNDS = 2
+#: Tasks a core of a round, since each sends its own sums for every symbol.
+CORE_TASKS = 2
 #: Symbols between the forward states that are kept.
 SEGMENT = 512
 PRIOR = 200.0
@@ -77,20 +78,32 @@ def _groups(seqs: list[np.ndarray], cells: int = 1 << 22) -> Iterator[np.ndarray
         at += size
 
 
-def log_likelihoods(seqs: list[np.ndarray], model: Model) -> np.ndarray:
+def _steps(symbols: np.ndarray, alive: np.ndarray, emit: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """The symbols alive from time ``low`` to ``high`` in a row, their emissions (K, all), and where each time is."""
+    ids = np.concatenate([symbols[t, : alive[t]] for t in range(low, high)])
+    ends = np.cumsum([0, *alive[low:high]]).tolist()
+    return ids, np.take(emit, ids, axis=1), [slice(a, b) for a, b in zip(ends, ends[1:])]
+
+
+def log_likelihoods(seqs: list[np.ndarray], model: Model, segment: int = SEGMENT) -> np.ndarray:
     """log10 probability of each sequence, by the scaled forward recursion."""
     out = np.zeros(len(seqs))
+    onward, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
     for order in _groups(seqs):
         symbols, alive = _padded(seqs, order)
-        total = np.zeros(len(order))
-        a = model.start * model.emit[symbols[0]]
-        for t in range(len(symbols)):
-            n = alive[t]
-            if t:
-                a = (a[:n] @ model.move) * model.emit[symbols[t, :n]]
-            scale = a.sum(axis=1)
-            a = a / scale[:, None]
-            total[:n] += np.log10(scale)
+        total, a = np.zeros(len(order)), None
+        for low in range(0, len(symbols), segment):
+            high = min(low + segment, len(symbols))
+            _, seen, places = _steps(symbols, alive, emit, low, high)
+            scales = np.empty(seen.shape[1])
+            for at in places:
+                n = at.stop - at.start
+                a = (model.start[:, None] if a is None else onward @ a[:, :n]) * seen[:, at]
+                a.sum(axis=0, out=scales[at])
+                a /= scales[at]
+            logs = np.log10(scales)
+            for at in places:
+                total[: at.stop - at.start] += logs[at]
         out[order] = total
     return out
 
@@ -98,46 +111,55 @@ def log_likelihoods(seqs: list[np.ndarray], model: Model) -> np.ndarray:
 def expected_counts(seqs: list[np.ndarray], model: Model, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected starts (K,), moves (K, K) and emissions (symbols, K)."""
     k = len(model.start)
-    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
-
-    def step(a: np.ndarray | None, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The scaled forward state after symbols of these emissions, and the scale."""
-        a = (model.start if a is None else a[: len(seen)] @ model.move) * seen
-        scale = a.sum(axis=1)
-        return a / scale[:, None], scale
+    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.T.shape)
+    # States by documents, so that the inner loops run over the documents.
+    onward, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
 
     for order in _groups(seqs):
         symbols, alive = _padded(seqs, order)
-        seen_at = lambda t, symbols=symbols, alive=alive: model.emit[symbols[t, : alive[t]]]
         edges: list[np.ndarray | None] = [None]
-        a = None
-        for t in range((len(symbols) - 1) // segment * segment):
-            a, _ = step(a, seen_at(t))
-            if (t + 1) % segment == 0:
-                edges.append(a)
-        back = np.ones((len(order), k))
-        for low in range((len(edges) - 1) * segment, -1, -segment):
-            times = range(low, min(low + segment, len(symbols)))
-            forward, scales, before = [], [], edges[low // segment]
-            for t in times:
-                a, scale = step(forward[-1] if forward else before, seen_at(t))
-                forward.append(a)
-                scales.append(scale)
-            flat, gammas = [], []
-            for t in reversed(times):
-                n, at = alive[t], t - low
-                gammas.append(forward[at] * back[:n])
-                flat.append(symbols[t, :n])
-                if t:
-                    right = back[:n] * seen_at(t) / scales[at][:, None]
-                    moves += model.move * ((forward[at - 1] if at else before)[:n].T @ right)
-                    back[:n] = right @ model.move.T
+
+        def forward(low: int, seen: np.ndarray, places: list[slice], scales: np.ndarray, out: np.ndarray, edges=edges) -> np.ndarray:
+            """Scaled forward states of a segment into ``out``; returns the last."""
+            a = edges[low // segment]
+            for at in places:
+                now = out[:, at]
+                if a is None:
+                    np.multiply(model.start[:, None], seen[:, at], out=now)
+                else:
+                    np.multiply(onward @ a[:, : at.stop - at.start], seen[:, at], out=now)
+                now.sum(axis=0, out=scales[at])
+                now /= scales[at]
+                a = now
+            return a
+
+        lows = range(0, len(symbols), segment)
+        for low in lows:
+            high = min(low + segment, len(symbols))
+            ids, seen, places = _steps(symbols, alive, emit, low, high)
+            if high < len(symbols):
+                edges.append(forward(low, seen, places, np.empty(len(ids)), np.empty_like(seen)).copy())
+        back = np.ones((k, len(order)))
+        for low in reversed(lows):
+            if low != lows[-1]:
+                ids, seen, places = _steps(symbols, alive, emit, low, low + segment)
+            scales, states = np.empty(len(ids)), np.empty_like(seen)
+            forward(low, seen, places, scales, states)
+            seen /= scales
+            for t in range(len(places) - 1, -1, -1):
+                at = places[t]
+                n = at.stop - at.start
+                right = back[:, :n] * seen[:, at]
+                states[:, at] *= back[:, :n]
+                before = states[:, places[t - 1]] if t else edges[low // segment]
+                if before is None:
+                    starts += states[:, at].sum(axis=1)
                 else:
-                    starts += gammas[-1].sum(axis=0)
-            ids, weights = np.concatenate(flat), np.concatenate(gammas)
+                    moves += model.move * (before[:, :n] @ right.T)
+                    np.matmul(model.move, right, out=back[:, :n])
             for s in range(k):
-                emits[:, s] += np.bincount(ids, weights[:, s], len(emits))
-    return starts, moves, emits
+                emits[s] += np.bincount(ids, states[s], emits.shape[1])
+    return starts, moves, np.ascontiguousarray(emits.T)
 
 
 def maximised(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, unigram: np.ndarray) -> Model:
@@ -268,7 +290,6 @@ def train_and_score(
     vocabulary: int = VOCABULARY,
     states: int = STATES,
     rounds: int = ROUNDS,
-    sample_docs: int = SAMPLE_DOCS,
     sample_rounds: int = SAMPLE_ROUNDS,
 ) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, trains, n_tokens, n_known, train_tokens, base_score, score.
@@ -278,7 +299,8 @@ def train_and_score(
     probability, score the hidden Markov model's. Null texts count as empty,
     very long ones are read whole. Repeated rows count, and are scored, each by
     itself. Without training documents all words are unknown. An empty table
-    gives no rows.
+    gives no rows. The model has ``sample_rounds`` + ``rounds`` rounds over all
+    documents to learn from; the two names are left from when the first saw a sample.
     """
     scratch = Scratch(docs.sparkSession, "hmm")
     sc = docs.sparkSession.sparkContext
@@ -321,16 +343,8 @@ def train_and_score(
 
     model = initial(unigram, states)
     if ends:
-        learn = encoded.filter("trains").select("key", "symbols")
-        share = max(sample_docs / ends, SAMPLE_SHARE)
-        sample = learn
-        if share < 1 and sample_rounds:
-            # Few partitions, since each sends its own sums for every symbol in every round.
-            parts = max(2, int(share * 2 * learn.rdd.getNumPartitions()))
-            picked = learn.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
-            sample = scratch.save(picked.repartition(parts, "key"), "sample")
-        model = baum_welch(sample, model, unigram, sample_rounds)
-        model = baum_welch(learn, model, unigram, rounds)
+        learn = encoded.filter("trains").select("symbols").coalesce(CORE_TASKS * sc.defaultParallelism)
+        model = baum_welch(learn, model, unigram, sample_rounds + rounds)
 
     # Rare words: one row per word and document, joined with the counts of all.
     words = encoded.select("key", F.explode("rare").alias("word")).groupBy("key", "word").agg(F.count("*").alias("times"))

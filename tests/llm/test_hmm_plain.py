@@ -89,6 +89,16 @@ def test_scores_against_loops(spark, docs):
     assert sorted(want) == sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)) for r in got)
 
 
+def test_every_round_sees_all_documents(spark, docs):
+    """More documents than 1500: how the rounds are named makes no difference."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["the", "cat", "sat", "der", "hund"], k=rng.randrange(1, 6)))) for i in range(2000)]
+    table = docs(rows)
+    learn = lambda **how: sorted((r.doc_id, r.score) for r in hmm_lm.train_and_score(table, F.col("doc_id") < 1900, vocabulary=4, states=2, **how).collect())
+    one, two = learn(sample_rounds=3, rounds=2), learn(sample_rounds=0, rounds=5)
+    assert len(one) == 2000 and np.allclose([s for _, s in one], [s for _, s in two], rtol=1e-9)
+
+
 def test_frequent_words_are_bounded(spark):
     rows = [(bytes([65 + i]), n) for i, n in enumerate([90, 70, 70, 70, 8, 8, 1, 1, 1])]
     counts = spark.createDataFrame(rows, "word binary, n long").repartition(4)
