@@ -9,9 +9,10 @@ sums the expected counts of its documents, and Spark sums them across tasks, of
 which there are a few per core, whatever the size of the data. Scoring is the scaled forward
 recursion over the whole text.
 
-Documents are whole in training too. Of a long one, the forward state is kept at
-every ``SEGMENT`` symbols alone; the backward pass goes through the segments from
-the last, computes the forward states of one anew, and hands its own state on.
+Documents are whole in training too. Of a group of documents, the forward states are
+kept where a segment of ``SEGMENT_CELLS`` symbols begins; the backward pass goes through
+the segments from the last, computes the forward states of one anew, and hands its
+own state on. So a worker's memory for states is bounded, whatever the lengths.
 
 Each document is encoded once, into a saved table. What reaches the driver has
 a size given by parameters, whatever the number of partitions: vocabulary x
@@ -42,10 +43,13 @@ SAMPLE_ROUNDS = 10
 ROUNDS = 2
 #: Tasks a core of a round, since each sends its own sums for every symbol.
 CORE_TASKS = 2
-#: Symbols between the forward states that are kept.
-SEGMENT = 512
+#: Times between the forward states that are kept, at most, and symbols of all documents of a group in between.
+SEGMENT = 1 << 16
+SEGMENT_CELLS = 1 << 18
+#: Times between two scalings.
+BLOCK = 16
 PRIOR = 200.0
-GROUP_DOCS = 1024
+GROUP_DOCS = 512
 
 
 class Model:
@@ -57,16 +61,6 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-SUFFIX:]) % CLASSES
 
 
-def _padded(seqs: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Time by document, longest first, and how many documents are alive at each time."""
-    lengths = np.array([len(seqs[i]) for i in order])
-    out = np.zeros((lengths[0], len(order)), np.int32)
-    for column, i in enumerate(order):
-        out[: len(seqs[i]), column] = seqs[i]
-    alive = len(order) - np.searchsorted(lengths[::-1], np.arange(1, lengths[0] + 1), side="left")
-    return out, alive
-
-
 def _groups(seqs: list[np.ndarray], cells: int = 1 << 22) -> Iterator[np.ndarray]:
     """Indices of sequences of like length, longest first, a bounded number of cells at once."""
     order = np.argsort([-len(s) for s in seqs], kind="stable")
@@ -78,32 +72,91 @@ def _groups(seqs: list[np.ndarray], cells: int = 1 << 22) -> Iterator[np.ndarray
         at += size
 
 
-def _steps(symbols: np.ndarray, alive: np.ndarray, emit: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, list[slice]]:
-    """The symbols alive from time ``low`` to ``high`` in a row, their emissions (K, all), and where each time is."""
-    ids = np.concatenate([symbols[t, : alive[t]] for t in range(low, high)])
-    ends = np.cumsum([0, *alive[low:high]]).tolist()
-    return ids, np.take(emit, ids, axis=1), [slice(a, b) for a, b in zip(ends, ends[1:])]
+class _Group:
+    """Documents of like length, longest first, and their time in segments of blocks.
+
+    A block has up to ``BLOCK`` times of all documents alive at its first; those
+    that end within go on with symbol 0, which no sum sees. A segment has up to
+    ``segment`` times and, where a block is smaller, ``SEGMENT_CELLS`` symbols.
+    """
+
+    def __init__(self, seqs: list[np.ndarray], segment: int) -> None:
+        lengths = np.array([len(s) for s in seqs])
+        self.symbols = np.zeros((len(seqs), lengths[0]), np.int32)
+        for row, seq in zip(self.symbols, seqs):
+            row[: len(seq)] = seq
+        times = np.arange(1, lengths[0] + 2)
+        #: How many documents are alive at each time, and none after the last.
+        self.alive = (len(seqs) - np.searchsorted(lengths[::-1], times, side="left")).tolist()
+        self.segments: list[list[tuple[int, int, int]]] = []  # blocks: first time, times, documents
+        low, steps, cells = 0, segment, 0
+        while low < lengths[0]:
+            if steps >= segment or cells + BLOCK * self.alive[low] > SEGMENT_CELLS:
+                self.segments.append([])
+                steps = cells = 0
+            size = int(min(BLOCK, segment - steps, lengths[0] - low))
+            self.segments[-1].append((low, size, self.alive[low]))
+            low, steps, cells = low + size, steps + size, cells + size * self.alive[low]
+
+    def ids(self, blocks: list[tuple[int, int, int]]) -> np.ndarray:
+        """The symbols of a segment, block by block, time by document."""
+        return np.concatenate([self.symbols[:n, low : low + size].T.ravel() for low, size, n in blocks]).astype(np.intp)
+
+
+class _Steps:
+    """Scaled forward states of one segment after another, in memory that is taken once.
+
+    Emissions are divided by a symbol's greatest over the states, which changes
+    no expected count, so that states keep their size over the times of a block;
+    they are scaled to a sum of one where a block begins.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.greatest = model.emit.max(axis=1)
+        self.emit = model.emit / self.greatest[:, None]
+        self.seen = self.states = np.empty((0, len(model.start)))
+
+    def forward(self, blocks: list[tuple[int, int, int]], ids: np.ndarray, a: np.ndarray | None) -> list[tuple]:
+        """From ``a``, the states before: the scale and the scaled states before each block, emissions and states in it."""
+        if len(ids) > len(self.seen):
+            self.seen, self.states = (np.empty((len(ids), len(self.model.start))) for _ in range(2))
+        np.take(self.emit, ids, axis=0, out=self.seen[: len(ids)], mode="clip")
+        out, at = [], 0
+        for _, size, n in blocks:
+            seen, states = (x[at : at + size * n].reshape(size, n, -1) for x in (self.seen, self.states))
+            scale = None
+            if a is not None:
+                scale = a[:n].sum(axis=1, keepdims=True)
+                a = a[:n] / scale
+            out.append((scale, a, seen, states))
+            for now, by in zip(states, seen):
+                if a is None:
+                    np.multiply(self.model.start, by, out=now)
+                else:
+                    np.matmul(a, self.model.move, out=now)
+                    now *= by
+                a = now
+            at += size * n
+        return out
 
 
 def log_likelihoods(seqs: list[np.ndarray], model: Model, segment: int = SEGMENT) -> np.ndarray:
     """log10 probability of each sequence, by the scaled forward recursion."""
     out = np.zeros(len(seqs))
-    onward, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
+    steps = _Steps(model)
+    logs = np.log10(steps.greatest)
     for order in _groups(seqs):
-        symbols, alive = _padded(seqs, order)
-        total, a = np.zeros(len(order)), None
-        for low in range(0, len(symbols), segment):
-            high = min(low + segment, len(symbols))
-            _, seen, places = _steps(symbols, alive, emit, low, high)
-            scales = np.empty(seen.shape[1])
-            for at in places:
-                n = at.stop - at.start
-                a = (model.start[:, None] if a is None else onward @ a[:, :n]) * seen[:, at]
-                a.sum(axis=0, out=scales[at])
-                a /= scales[at]
-            logs = np.log10(scales)
-            for at in places:
-                total[: at.stop - at.start] += logs[at]
+        group, a = _Group([seqs[i] for i in order], segment), None
+        total = np.array([logs[seqs[i]].sum() for i in order])
+        for blocks in group.segments:
+            for (low, size, n), (scale, _, _, states) in zip(blocks, steps.forward(blocks, group.ids(blocks), a)):
+                if scale is not None:
+                    total[:n] += np.log10(scale[:, 0])
+                for t in range(size):
+                    if (stay := group.alive[low + t + 1]) < (end := group.alive[low + t]):
+                        total[stay:end] += np.log10(states[t, stay:end].sum(axis=1))
+                a = states[-1].copy()
         out[order] = total
     return out
 
@@ -112,53 +165,41 @@ def expected_counts(seqs: list[np.ndarray], model: Model, segment: int = SEGMENT
     """Baum-Welch: expected starts (K,), moves (K, K) and emissions (symbols, K)."""
     k = len(model.start)
     starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.T.shape)
-    # States by documents, so that the inner loops run over the documents.
-    onward, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
-
+    steps, backward = _Steps(model), np.ascontiguousarray(model.move.T)
     for order in _groups(seqs):
-        symbols, alive = _padded(seqs, order)
+        group = _Group([seqs[i] for i in order], segment)
         edges: list[np.ndarray | None] = [None]
-
-        def forward(low: int, seen: np.ndarray, places: list[slice], scales: np.ndarray, out: np.ndarray, edges=edges) -> np.ndarray:
-            """Scaled forward states of a segment into ``out``; returns the last."""
-            a = edges[low // segment]
-            for at in places:
-                now = out[:, at]
-                if a is None:
-                    np.multiply(model.start[:, None], seen[:, at], out=now)
-                else:
-                    np.multiply(onward @ a[:, : at.stop - at.start], seen[:, at], out=now)
-                now.sum(axis=0, out=scales[at])
-                now /= scales[at]
-                a = now
-            return a
-
-        lows = range(0, len(symbols), segment)
-        for low in lows:
-            high = min(low + segment, len(symbols))
-            ids, seen, places = _steps(symbols, alive, emit, low, high)
-            if high < len(symbols):
-                edges.append(forward(low, seen, places, np.empty(len(ids)), np.empty_like(seen)).copy())
-        back = np.ones((k, len(order)))
-        for low in reversed(lows):
-            if low != lows[-1]:
-                ids, seen, places = _steps(symbols, alive, emit, low, low + segment)
-            scales, states = np.empty(len(ids)), np.empty_like(seen)
-            forward(low, seen, places, scales, states)
-            seen /= scales
-            for t in range(len(places) - 1, -1, -1):
-                at = places[t]
-                n = at.stop - at.start
-                right = back[:, :n] * seen[:, at]
-                states[:, at] *= back[:, :n]
-                before = states[:, places[t - 1]] if t else edges[low // segment]
+        for blocks in group.segments:
+            ids = group.ids(blocks)
+            done = steps.forward(blocks, ids, edges[-1])
+            edges.append(done[-1][3][-1].copy())
+        # What follows a time, given the state in it; of a document that has ended, zero.
+        back = np.zeros((len(order), k))
+        for i in range(len(group.segments) - 1, -1, -1):
+            blocks = group.segments[i]
+            if i < len(group.segments) - 1:
+                ids = group.ids(blocks)
+                done = steps.forward(blocks, ids, edges[i])
+            weights, at = np.empty((k, len(ids))), len(ids)
+            for (low, size, n), (scale, before, seen, states) in zip(reversed(blocks), reversed(done)):
+                right, now = np.empty_like(seen), back[:n]
+                for t in range(size - 1, -1, -1):
+                    if (stay := group.alive[low + t + 1]) < (end := group.alive[low + t]):
+                        now[stay:end] = 1 / states[t, stay:end].sum(axis=1, keepdims=True)
+                    np.multiply(seen[t], now, out=right[t])
+                    np.multiply(states[t], now, out=seen[t])  # the probability of each state
+                    np.matmul(right[t], backward, out=now)
+                if size > 1:
+                    moves += model.move * (states[:-1].reshape(-1, k).T @ right[1:].reshape(-1, k))
                 if before is None:
-                    starts += states[:, at].sum(axis=1)
+                    starts += seen[0].sum(axis=0)
                 else:
-                    moves += model.move * (before[:, :n] @ right.T)
-                    np.matmul(model.move, right, out=back[:, :n])
+                    moves += model.move * (before.T @ right[0])
+                    now /= scale
+                weights[:, at - size * n : at] = seen.reshape(-1, k).T
+                at -= size * n
             for s in range(k):
-                emits[s] += np.bincount(ids, states[s], emits.shape[1])
+                emits[s] += np.bincount(ids, weights[s], emits.shape[1])
     return starts, moves, np.ascontiguousarray(emits.T)
 
 

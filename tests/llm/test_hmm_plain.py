@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -113,3 +114,34 @@ def test_rare_words_share_their_class(spark, docs):
     got = hmm_lm.train_and_score(docs(rows + [(10, "one"), (11, "unmet"), (12, "")]), F.col("doc_id") < 5, vocabulary=1, states=2).collect()
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert sum(10 ** r.score for r in got if r.doc_id >= 10) < 1
+
+
+def test_memory_of_states_is_bounded():
+    """Whatever the lengths, what a batch takes above its own size has a bound."""
+    rng = np.random.default_rng(3)
+    model = hmm_lm.initial(np.full(50, 1 / 50), 8)
+    seqs = [rng.integers(0, 50, 700).astype(np.int32) for _ in range(1100)]
+    for work in (hmm_lm.expected_counts, hmm_lm.log_likelihoods):
+        tracemalloc.start()
+        work(seqs, model)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6
+
+
+def test_blocks_keep_their_size():
+    """Symbols that nearly fix the state, and moves that are nearly impossible: no state is lost within a block."""
+    move = np.array([[1 - 1e-12, 1e-12], [1e-12, 1 - 1e-12]])
+    model = hmm_lm.Model(np.array([0.5, 0.5]), move, np.array([[1e-3, 1e-16], [1e-16, 1e-3], [1e-13, 1e-13]]))
+    seqs = [np.array([0, 1] * n + [2] * 5, np.int32) for n in (1, 4, 8, 40)]
+    want = []
+    for seq in seqs:
+        a, total = model.start * model.emit[seq[0]], 0.0
+        for x in seq[1:]:
+            total += math.log10(a.sum())
+            a = (a / a.sum()) @ move * model.emit[x]
+        want.append(total + math.log10(a.sum()))
+    assert np.allclose(hmm_lm.log_likelihoods(seqs, model), want)
+    starts, moves, emits = hmm_lm.expected_counts(seqs, model)
+    symbols = sum(map(len, seqs))
+    assert np.isclose(starts.sum(), 4) and np.isclose(moves.sum(), symbols - 4) and np.allclose(emits.sum(axis=1), np.bincount(np.concatenate(seqs)))
