@@ -162,11 +162,12 @@ def _groups(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS, bucket_r
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``groups(doc_id, text_key, root)`` for all rows of ``docs`` -> one row for each root: the smallest doc_id, null ones last, then text_key."""
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("at"))
-    first = first.select(F.col("at.doc_id").alias("their_id"), F.col("at.text_key").alias("their_key"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
-    same = rows["own_id"].eqNullSafe(first["their_id"]) & (rows["own_key"] == first["their_key"])
+    # Equal structs may hold nulls. One key of one type for both steps, so whole texts are shuffled once.
+    first = first.select(F.struct(F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key")).alias("own"))
+    own = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")).cast(first.schema["own"].dataType)
+    rows = docs.select(F.struct("*").alias("row"), own.alias("own"))
     # What is left under one id and text is one text, and a single row of it is enough.
-    return rows.join(first, same, "left_semi").dropDuplicates(["own_id", "own_key"]).select("row.*")
+    return rows.join(first, "own", "left_semi").dropDuplicates(["own"]).select("row.*")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float | None = SIMILARITY, **how) -> DataFrame:
