@@ -23,16 +23,16 @@ word, summed per document.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.scratch import Scratch
-from strandline.llm.words import word_runs
+from strandline.llm.words import RUN_BYTES
 
 VOCABULARY = 1 << 16
 STATES = 8
@@ -49,6 +49,8 @@ SEGMENT_CELLS = 1 << 18
 #: Times between two scalings.
 BLOCK = 16
 PRIOR = 200.0
+#: Bytes of text whose words are counted at once.
+COUNT_BYTES = 1 << 23
 GROUP_DOCS = 512
 
 
@@ -117,19 +119,23 @@ class _Steps:
         self.emit = model.emit / self.greatest[:, None]
         self.seen = self.states = np.empty((0, len(model.start)))
 
-    def forward(self, blocks: list[tuple[int, int, int]], ids: np.ndarray, a: np.ndarray | None) -> list[tuple]:
-        """From ``a``, the states before: the scale and the scaled states before each block, emissions and states in it."""
-        if len(ids) > len(self.seen):
-            self.seen, self.states = (np.empty((len(ids), len(self.model.start))) for _ in range(2))
-        np.take(self.emit, ids, axis=0, out=self.seen[: len(ids)], mode="clip")
-        out, at = [], 0
+    def forward(self, blocks: list[tuple[int, int, int]], ids: np.ndarray, a: np.ndarray | None, keep: bool = True) -> Iterator[tuple]:
+        """From ``a``, the states before: the scale and the scaled states before each block, emissions and states in it.
+
+        Unless told to ``keep`` them, a block's emissions and states last until the next, and stay in the processor's cache.
+        """
+        most = len(ids) if keep else max(size * n for _, size, n in blocks)
+        if most > len(self.seen):
+            self.seen, self.states = (np.empty((most, len(self.model.start))) for _ in range(2))
+        at = to = 0
         for _, size, n in blocks:
-            seen, states = (x[at : at + size * n].reshape(size, n, -1) for x in (self.seen, self.states))
             scale = None
             if a is not None:
                 scale = a[:n].sum(axis=1, keepdims=True)
                 a = a[:n] / scale
-            out.append((scale, a, seen, states))
+            before = a
+            np.take(self.emit, ids[at : at + size * n], axis=0, out=self.seen[to : to + size * n], mode="clip")
+            seen, states = (x[to : to + size * n].reshape(size, n, -1) for x in (self.seen, self.states))
             for now, by in zip(states, seen):
                 if a is None:
                     np.multiply(self.model.start, by, out=now)
@@ -137,8 +143,9 @@ class _Steps:
                     np.matmul(a, self.model.move, out=now)
                     now *= by
                 a = now
+            yield scale, before, seen, states
             at += size * n
-        return out
+            to = at if keep else 0
 
 
 def log_likelihoods(seqs: list[np.ndarray], model: Model, segment: int = SEGMENT) -> np.ndarray:
@@ -150,7 +157,7 @@ def log_likelihoods(seqs: list[np.ndarray], model: Model, segment: int = SEGMENT
         group, a = _Group([seqs[i] for i in order], segment), None
         total = np.array([logs[seqs[i]].sum() for i in order])
         for blocks in group.segments:
-            for (low, size, n), (scale, _, _, states) in zip(blocks, steps.forward(blocks, group.ids(blocks), a)):
+            for (low, size, n), (scale, _, _, states) in zip(blocks, steps.forward(blocks, group.ids(blocks), a, keep=False)):
                 if scale is not None:
                     total[:n] += np.log10(scale[:, 0])
                 for t in range(size):
@@ -166,29 +173,35 @@ def expected_counts(seqs: list[np.ndarray], model: Model, segment: int = SEGMENT
     k = len(model.start)
     starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.T.shape)
     steps, backward = _Steps(model), np.ascontiguousarray(model.move.T)
+    # Memory that is taken once: weights of a segment, and of a block what follows its symbols and its states.
+    weights, rights, afters = (np.empty(0) for _ in range(3))
     for order in _groups(seqs):
         group = _Group([seqs[i] for i in order], segment)
         edges: list[np.ndarray | None] = [None]
-        for blocks in group.segments:
-            ids = group.ids(blocks)
-            done = steps.forward(blocks, ids, edges[-1])
-            edges.append(done[-1][3][-1].copy())
+        for blocks in group.segments[:-1]:
+            for *_, states in steps.forward(blocks, group.ids(blocks), edges[-1], keep=False):
+                pass
+            edges.append(states[-1].copy())
         # What follows a time, given the state in it; of a document that has ended, zero.
         back = np.zeros((len(order), k))
         for i in range(len(group.segments) - 1, -1, -1):
             blocks = group.segments[i]
-            if i < len(group.segments) - 1:
-                ids = group.ids(blocks)
-                done = steps.forward(blocks, ids, edges[i])
-            weights, at = np.empty((k, len(ids))), len(ids)
+            ids = group.ids(blocks)
+            done = list(steps.forward(blocks, ids, edges[i]))
+            if k * len(ids) > len(weights):
+                weights = np.empty(k * len(ids))
+            weight, at = weights[: k * len(ids)].reshape(k, -1), len(ids)
             for (low, size, n), (scale, before, seen, states) in zip(reversed(blocks), reversed(done)):
-                right, now = np.empty_like(seen), back[:n]
+                if seen.size > len(rights):
+                    rights, afters = np.empty(seen.size), np.empty(seen.size)
+                right, after = (x[: seen.size].reshape(seen.shape) for x in (rights, afters))
+                after[-1] = now = back[:n]
                 for t in range(size - 1, -1, -1):
                     if (stay := group.alive[low + t + 1]) < (end := group.alive[low + t]):
-                        now[stay:end] = 1 / states[t, stay:end].sum(axis=1, keepdims=True)
-                    np.multiply(seen[t], now, out=right[t])
-                    np.multiply(states[t], now, out=seen[t])  # the probability of each state
-                    np.matmul(right[t], backward, out=now)
+                        after[t, stay:end] = 1 / states[t, stay:end].sum(axis=1, keepdims=True)
+                    np.multiply(seen[t], after[t], out=right[t])
+                    np.matmul(right[t], backward, out=after[t - 1] if t else now)
+                np.multiply(states, after, out=seen)  # the probability of each state
                 if size > 1:
                     moves += model.move * (states[:-1].reshape(-1, k).T @ right[1:].reshape(-1, k))
                 if before is None:
@@ -196,10 +209,10 @@ def expected_counts(seqs: list[np.ndarray], model: Model, segment: int = SEGMENT
                 else:
                     moves += model.move * (before.T @ right[0])
                     now /= scale
-                weights[:, at - size * n : at] = seen.reshape(-1, k).T
+                weight[:, at - size * n : at] = seen.reshape(-1, k).T
                 at -= size * n
             for s in range(k):
-                emits[s] += np.bincount(ids, weights[s], emits.shape[1])
+                emits[s] += np.bincount(ids, weight[s], emits.shape[1])
     return starts, moves, np.ascontiguousarray(emits.T)
 
 
@@ -217,48 +230,76 @@ def initial(unigram: np.ndarray, states: int, seed: int = 7) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
+def _word_arrays(texts: pa.Array, size: int) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+    """Words of rows low to high, as one array, and how many each row has; rows of ``size`` bytes at once, one at least.
+
+    Arrow's kernels part at the same six bytes as ``bytes.split`` and change A-Z
+    alone, but leave an empty word where a text begins or ends with one of them.
+    """
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, side="right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(low, high - low).view(pa.string())))
+        words, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy()
+        del lists
+        empty = np.flatnonzero(pc.equal(words, "").to_numpy(zero_copy_only=False))
+        if len(empty):
+            lengths = lengths - np.bincount(np.searchsorted(np.cumsum(lengths), empty, side="right"), minlength=high - low)
+            words = words.filter(pc.not_equal(words, ""))
+        yield low, high, words.view(pa.binary()), lengths
+        low = high
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: Counter[bytes] = Counter()
-        for text in batch.column(0):
-            for run in word_runs(text.as_py() or b""):
-                counts.update(run)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        for _, _, words, _ in _word_arrays(batch.column(0), COUNT_BYTES):
+            counts = words.value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
+    pa.default_memory_pool().release_unused()
+
+
+def _word_classes(words: pa.Array) -> np.ndarray:
+    """``word_class`` of each word."""
+    suffixes = pc.binary_slice(words, -SUFFIX).dictionary_encode()
+    classes = np.array([word_class(w) for w in suffixes.dictionary.to_pylist()], np.int32)
+    return classes[suffixes.indices.to_numpy()]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """(key, trains, text) -> the symbols, and what the known counts give already."""
-    index, end, known_log, class_log = shared.value
-    get = index.get
+    frequent, end, known_log, class_log = shared.value
+    frequent = pa.array(frequent, pa.binary())
     for batch in batches:
-        out = []
-        for key, trains, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            ids: list[int] = []
-            rare: list[bytes] = []
-            for run in word_runs(text.as_py() or b""):
-                for w in run:
-                    i = get(w)
-                    if i is None:
-                        rare.append(w)
-                        i = end + 1 + word_class(w)
-                    ids.append(i)
-            ids.append(end)
-            symbols = np.array(ids, np.int32)
-            frequent = symbols[symbols <= end]
-            classes = symbols[symbols > end] - end - 1
-            out.append((key, trains, len(ids), len(rare), float(known_log[frequent].sum()), float(class_log[classes].sum()), symbols.astype("<i4").tobytes(), rare))
-            if len(out) >= 256:
-                yield _encoded_batch(out)
-                out = []
-        if out:
-            yield _encoded_batch(out)
+        for low, high, words, lengths in _word_arrays(batch.column(2), RUN_BYTES):
+            n = high - low
+            rows = np.repeat(np.arange(n), lengths)
+            ids = pc.index_in(words, value_set=frequent).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+            known = ids >= 0
+            rare, rare_rows = words.filter(pa.array(~known)), rows[~known]
+            classes = _word_classes(rare)
+            ids[~known] = end + 1 + classes
+            known_logs = np.bincount(rows[known], known_log[ids[known]], n) + known_log[end]
+            class_logs = np.bincount(rare_rows, class_log[classes], n)
 
+            # A row's symbols are followed by its end.
+            lengths = lengths + 1
+            symbols = np.full(len(ids) + n, end, "<i4")
+            symbols[np.arange(len(ids)) + rows] = ids
+            texts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(_offsets(lengths * 4)), pa.py_buffer(symbols)])
 
-_ENCODED = pa.schema([("key", pa.int64()), ("trains", pa.bool_()), ("n_tokens", pa.int64()), ("n_rare", pa.int64()), ("known_log", pa.float64()), ("class_log", pa.float64()), ("symbols", pa.binary()), ("rare", pa.list_(pa.binary()))])
+            n_rare = np.bincount(rare_rows, minlength=n)
+            rare = pa.ListArray.from_arrays(pa.array(_offsets(n_rare)), rare)
+            numbers = [pa.array(lengths, pa.int64()), pa.array(n_rare, pa.int64()), pa.array(known_logs), pa.array(class_logs)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(low, n) for i in range(2)], *numbers, texts, rare], schema=_ENCODED)
 
 
-def _encoded_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENCODED)], schema=_ENCODED)
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+
+
+_ENCODED = pa.schema([("key", pa.int64()), ("trains", pa.bool_()), ("n_tokens", pa.int64()), ("n_rare", pa.int64()), ("known_log", pa.float64()), ("class_log", pa.float64()), ("symbols", pa.binary()), ("rare", pa.list_(pa.binary()))])
 
 
 def _sequences(batch: pa.RecordBatch, name: str = "symbols") -> list[np.ndarray]:
@@ -355,19 +396,19 @@ def train_and_score(
 
     top = frequent_words(counts, vocabulary)
     top_counts = np.array([r["n"] for r in top] + [ends], float)
-    index, end = {bytes(r["word"]): i for i, r in enumerate(top)}, len(top)
+    frequent, end = [bytes(r["word"]) for r in top], len(top)
     # What the frequent words leave of each class, without a second look at them.
     suffix = F.crc32(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})")) % CLASSES
     of_class = np.zeros((2, CLASSES))
     for r in counts.groupBy(suffix.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         of_class[:, r["c"]] = r["n"], r["v"]
-    for r in top:
-        of_class[:, word_class(bytes(r["word"]))] -= r["n"], 1
+    for r, word in zip(top, frequent):
+        of_class[:, word_class(word)] -= r["n"], 1
     class_norm = of_class.sum(axis=0) + 1
     unigram = np.concatenate([top_counts + 1, class_norm])
     unigram /= unigram.sum()
 
-    shared = sc.broadcast((index, end, np.log10(top_counts + 1), np.log10(class_norm)))
+    shared = sc.broadcast((frequent, end, np.log10(top_counts + 1), np.log10(class_norm)))
     keyed = slim.select(F.monotonically_increasing_id().alias("key"), "*")
     encoded_type = "key long, trains boolean, n_tokens long, n_rare long, known_log double, class_log double, symbols binary, rare array<binary>"
     kind = docs.schema["doc_id"].dataType.simpleString()
