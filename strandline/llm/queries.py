@@ -16,10 +16,13 @@ from strandline.llm.mixing import mixed_counts
 from strandline.llm.packing import pack_power_of_two
 from strandline.llm.pii import KINDS, find_pii
 from strandline.llm.simhash import simhash_groups
+from strandline.llm.token_fst import token_counts
 from strandline.llm.topk import exact_top_k
 from strandline.llm.toxicity import remainder, score, train
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Documents of more tokens are over the limit.
+TOKEN_LIMIT = 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +78,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), TOKENIZER).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_simhash_near_dedup, op4_toxicity, op5_packing, op6_mixing, op7_lm_scoring, op8_pii, op9_exact_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_simhash_near_dedup, op4_toxicity, op5_packing, op6_mixing, op7_lm_scoring, op8_pii, op9_exact_dedup, op10_quality_classifier, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
