@@ -39,9 +39,11 @@ from strandline.llm.packing import _byte_of_symbol
 NONE, LETTERS, DIGITS, OTHERS, SPACES, APOSTROPHE, SHORTENED = range(7)
 #: The contractions that the split pattern of this family of vocabularies makes words; fixed values.
 SHORT, LONG = frozenset(b"stmd"), frozenset({b"re", b"ve", b"ll"})
-#: States kept in a worker's table, half a kilobyte each for texts of 128 different bytes; beyond, the table is begun anew.
-MAX_STATES = 1 << 18
+#: States kept in a worker's table, about a kilobyte each; beyond, the table is begun anew.
+MAX_STATES = 200_000
 LANE_BYTES, BLOCK_BYTES = 1 << 11, 1 << 22
+#: Rows beyond them, as states are made between two looks at their number.
+SPARE = 1 << 16
 #: Fewer lanes than these run one after the other.
 FEW_LANES = 12
 #: Texts of more bytes are dealt over tasks by chunks.
@@ -63,12 +65,10 @@ class Pairs:
         #: The tokens at a token's right (left) edge while it is being merged, each with the rank of the merge that ends it.
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
-        never = len(merges)
-        for t in [t for t in vocab.values() if t not in made] + sorted(made, key=lambda t: made[t][2]):
-            a, b, i = made.get(t, (None, None, never))
-            self.right[t] = [(t, never)] + ([(x, min(i, e)) for x, e in self.right[b]] if b is not None else [])
-            self.left[t] = [(t, never)] + ([(x, min(i, e)) for x, e in self.left[a]] if a is not None else [])
-        self.known: dict[tuple[int, int], bool] = {}
+        #: Both parts of a merged token and the rank of its merge; -1 for bytes.
+        self.parts = [(-1, -1, len(merges))] * (max(vocab.values()) + 1)
+        for t, found in made.items():
+            self.parts[t] = found
         unmade = set()
         for t, (a, b, i) in sorted(made.items(), key=lambda x: x[1][2]):
             if a in unmade or b in unmade or not self._apart(a, b, i):
@@ -76,10 +76,20 @@ class Pairs:
         #: Tokens that encode their own bytes; no other is ever emitted.
         self.tokens = {bytes(byte_of[c] for c in s): t for s, t in vocab.items() if t not in unmade and all(c in byte_of for c in s)}
 
+    def _edge(self, t: int, side: int) -> list[tuple[int, int]]:
+        """The tokens at a token's left (0) or right (1) edge while it is being merged, each with the rank of the merge that ends it."""
+        out, end = [], len(self.rank)
+        while t >= 0:
+            out.append((t, end))
+            *parts, rank = self.parts[t]
+            t, end = parts[side], min(rank, end)
+        return out
+
     def _apart(self, a: int, b: int, before: int) -> bool:
         """No merge of a rank under ``before`` joins an edge of a with an edge of b while both stand."""
-        for x, end_x in self.right[a]:
-            for y, end_y in self.left[b]:
+        starts = self._edge(b, 0)
+        for x, end_x in self._edge(a, 1):
+            for y, end_y in starts:
                 # of equal merges the left one goes first: it ends x before, y after the crossing one
                 if (m := self.rank.get((x, y))) is not None and m < before and m < end_x and m <= end_y:
                     return False
@@ -87,15 +97,13 @@ class Pairs:
 
     def fit(self, a: int, b: int) -> bool:
         """The encoding of a's bytes and b's bytes together is a, b."""
-        if (out := self.known.get((a, b))) is None:
-            out = self.known[a, b] = self._apart(a, b, len(self.rank))
-        return out
+        return self._apart(a, b, len(self.rank))
 
 
 class State(NamedTuple):
     kind: int
-    #: For the open word: of each suffix that begins a token, (its node, the token before it, tokens less than all).
-    word: tuple
+    #: For the open word: of each suffix that begins a token, its node, the token before it, tokens less than all.
+    word: tuple[int, ...]
     #: What is read but not yet dealt to a word: the last white space, or the letter after an apostrophe.
     tail: bytes
     #: Bytes of a character that is not complete.
@@ -105,7 +113,7 @@ class State(NamedTuple):
 
 
 #: No byte of a word is read.
-EMPTY = ((0, -1, 0),)
+EMPTY = (0, -1, 0)
 START = State(NONE, EMPTY, b"", b"", b"")
 
 
@@ -140,22 +148,19 @@ class Transducer:
         self.classes: dict[bytes, int] = {}
         self.max_states = max_states
         self.column, self.byte_of, self.seen = np.full(256, -1, np.int16), np.zeros(256, np.uint8), 0
-        self._begin(64)
+        self._begin(128)
 
     def _begin(self, columns: int) -> None:
-        self.words = {EMPTY: EMPTY}
-        self.grown: dict[tuple[tuple, int], tuple[tuple, int]] = {}
         self.states, self.ids = [START], {START: 0}
-        #: Next state and count of tokens by state and column; -1: not made yet. A column is a byte that texts hold.
-        self.table = np.full((1024, columns), -1, np.int32)
+        #: Next state and count of tokens by state and column; 0: not made yet. A column is a byte that texts hold.
+        #: Rows take memory once they are written.
+        self.table = np.zeros((self.max_states + SPARE, columns), np.int32)
 
     # -- one word
 
-    def _grow(self, word: tuple, byte: int) -> tuple[tuple, int]:
-        if (out := self.grown.get((word, byte))) is not None:
-            return out
+    def _grow(self, word: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
         kept, found, more = [], -1, 0
-        for node, before, less in word:
+        for node, before, less in zip(word[::3], word[1::3], word[2::3]):
             node = self.trie[node].get(byte)
             if node is None:
                 continue
@@ -163,13 +168,12 @@ class Transducer:
             if token >= 0 and found < 0 and (before < 0 or self.pairs.fit(before, token)):
                 found, more = token, less + 1
             if self.trie[node]:
-                kept.append((node, before, less))
-        out = (*[(n, b, x - more) for n, b, x in kept], (0, found, 0))
-        out = self.words.setdefault(out, out)
-        self.grown[word, byte] = out, more
-        return out, more
+                kept += node, before, less
+        if more:
+            kept[2::3] = [less - more for less in kept[2::3]]
+        return (*kept, 0, found, 0), more
 
-    def _spell(self, text: bytes, word: tuple = EMPTY) -> tuple[tuple, int]:
+    def _spell(self, text: bytes, word: tuple[int, ...] = EMPTY) -> tuple[tuple[int, ...], int]:
         total = 0
         for b in text:
             word, more = self._grow(word, b)
@@ -286,14 +290,14 @@ class Transducer:
         if at == len(self.states):
             self.states.append(s)
             if at == len(self.table):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.table = np.pad(self.table, [(0, SPARE), (0, 0)])
         return at
 
     def columns(self, data: np.ndarray) -> np.ndarray:
         """The bytes as columns of the table, which has one for each byte ever seen."""
         for b in np.flatnonzero((np.bincount(data, minlength=256) > 0) & (self.column < 0)).tolist():
             if self.seen == self.table.shape[1]:
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)], axis=1)
+                self.table = np.pad(self.table, [(0, 0), (0, self.seen)])
             self.column[b], self.byte_of[self.seen] = self.seen, b
             self.seen += 1
         return self.column[data]
@@ -326,7 +330,7 @@ class Transducer:
                 now = self._renew(now)
             width, read = self.table.shape[1], data[at[:n] + k]
             step = self.table.ravel()[now[:n] * width + read]
-            if (lost := np.flatnonzero(step < 0)).size:
+            if (lost := np.flatnonzero(step == 0)).size:
                 for x, c in {*zip(now[lost].tolist(), read[lost].tolist())}:
                     self._make(x, c)
                 step = self.table.ravel()[now[:n] * width + read]
@@ -348,7 +352,7 @@ class Transducer:
             now = int(lanes[i])
             for c in data[lo : lo + 4096].tolist():
                 step = self.table.item(now, c)
-                if step < 0:
+                if step == 0:
                     step = self._make(now, c)
                 now, count = step >> 12, count + (step & 0xFFF) - (1 << 11)
         return now, count
@@ -436,8 +440,9 @@ def _counts(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) ->
     """Last column: the text; out: the other columns and the count."""
     transducer = _transducer(path)
     for batch in batches:
-        text = batch.column(batch.num_columns - 1).cast(pa.large_binary()).fill_null(b"")
-        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        text = batch.column(batch.num_columns - 1)
+        kind = np.int64 if pa.types.is_large_binary(text.type) else np.int32
+        offsets = np.frombuffer(text.buffers()[1], kind)[text.offset : text.offset + len(text) + 1].astype(np.int64)
         data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
         counts = np.empty(len(text), np.int64)
         lo = 0
