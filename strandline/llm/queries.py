@@ -16,6 +16,7 @@ from strandline.llm.line_dedup import line_report
 from strandline.llm.mixing import mixed_counts
 from strandline.llm.packing import pack_power_of_two
 from strandline.llm.pii import KINDS, find_pii
+from strandline.llm.prefix_trie import spliced_trie
 from strandline.llm.simhash import simhash_groups
 from strandline.llm.token_fst import token_counts
 from strandline.llm.topk import exact_top_k
@@ -79,6 +80,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spliced_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("key", "parent")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -88,7 +93,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_simhash_near_dedup, op4_toxicity, op5_packing, op6_mixing, op7_lm_scoring, op8_pii, op9_exact_dedup, op10_quality_classifier, op12_filter_audit, op13_token_counts)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_simhash_near_dedup, op4_toxicity, op5_packing, op6_mixing, op7_lm_scoring, op8_pii, op9_exact_dedup, op10_quality_classifier, op11_prefix_trie, op12_filter_audit, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -106,6 +111,26 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
             FROM d""",
+        # CRC-32 bit by bit: a character is mixed in, then -1 stands for each of eight shifts.
+        "op11_prefix_trie": r"""
+            WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS p
+                       FROM conversations WHERE conv_id IS NOT NULL),
+            b AS (SELECT c, list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))) AS l
+                  FROM (SELECT DISTINCT c FROM t)),
+            i AS (SELECT c, xor(list_reduce(l, lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 4 AS h FROM b),
+            r AS (SELECT i.c, p, role, text FROM i JOIN t ON t.c = i.c - i.c % 20 AND p <= h UNION ALL SELECT t.c, p, role, text FROM t JOIN i ON t.c = i.c WHERE p > h),
+            s AS (SELECT i.c, coalesce(list({'r': role, 't': text} ORDER BY p) FILTER (p IS NOT NULL), []) AS path FROM i LEFT JOIN r ON r.c = i.c GROUP BY i.c),
+            m AS (SELECT c, d, path[1:d] AS node, len(path) = d AS at_end FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM s)),
+            n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (at_end) AS ends FROM m GROUP BY node, d),
+            k AS (SELECT node[1:d - 1] AS parent, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+            v AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+                         CASE WHEN n.d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(node[n.d].t, '[^\x20\x09-\x0D]+')) END AS saved
+                  FROM n LEFT JOIN k ON k.d = n.d AND k.parent = n.node),
+            u AS (SELECT a.node, a.d, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.saved) AS saved FROM v a JOIN v b ON b.d >= a.d AND b.node[1:a.d] = a.node GROUP BY a.node, a.d)
+            SELECT v.conv_id, v.d AS depth, w.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens,
+                   sha256(coalesce(v.ends, '')) AS ends_sha256
+            FROM v JOIN u ON u.d = v.d AND u.node = v.node LEFT JOIN v w ON w.d = v.d - 1 AND w.node = v.node[1:v.d - 1]""",
         "op12_filter_audit": r"""
             WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
             m AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
