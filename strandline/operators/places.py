@@ -44,10 +44,10 @@ def by_location_time(df: DataFrame, at: str = "loc_ts") -> DataFrame:
 
 
 def place_state(df: DataFrame, *, ahead_ms: int = AHEAD_MS) -> DataFrame:
-    """Adds ``state``, Place or Moves; between the limits it stays what it was, at first Place."""
+    """Adds ``state``, Place or Moves; between the limits, and without a record ahead, it stays what it was, at first Place."""
     df = displacement(df, ahead_ms=ahead_ms)
     m = F.col("max_m")
-    own = F.when(is_active("mode") & (m > ACTIVE_M), "Moves").when(m > FAR_M, "Moves").when(m < NEAR_M, "Place")
+    own = F.when(is_active("mode") & (m > ACTIVE_M), "Moves").when(m > FAR_M, "Moves").when((m >= 0) & (m < NEAR_M), "Place")
     order = Window.partitionBy("user_key").orderBy("ts", "seq")
     return df.withColumn("state", F.coalesce(F.last(own, ignorenulls=True).over(order), F.lit("Place")))
 
@@ -65,9 +65,10 @@ def with_segments(df: DataFrame, *, max_gap_ms: int = MAX_GAP_MS, include_open:
 def split_long(df: DataFrame) -> DataFrame:
     """Numbers the ``part``s of long segments.
 
-    When a segment reaches four whole hours and more than 20 points, all but
-    its last 10 are cut off as a part of their own, and so on. What is cut
-    depends on the cut before, so each segment is gone through in order.
+    When a further record of the segment arrives after four whole hours and more
+    than 20 points of it, all but the last 10 of these are cut off as a part of
+    their own, and so on; the segment's last records are never a reason to cut. What
+    is cut depends on the cut before, so each segment is gone through in order.
     """
     columns = df.columns
 
@@ -75,9 +76,9 @@ def split_long(df: DataFrame) -> DataFrame:
         pdf = pdf.sort_values(["ts", "seq"])
         t = pdf["ts"].to_numpy("datetime64[ms]").astype(np.int64)
         part, begin, now = np.zeros(len(t), np.int32), 0, 0
-        for i in range(len(t)):
-            if (t[i] - t[begin]) // 3_600_000 > LONG_HOURS and i + 1 - begin > LONG_POINTS:
-                begin, now = i + 1 - HELD_POINTS, now + 1
+        for i in range(1, len(t)):
+            if (t[i - 1] - t[begin]) // 3_600_000 > LONG_HOURS and i - begin > LONG_POINTS:
+                begin, now = i - HELD_POINTS, now + 1
                 part[begin:] = now
         return pdf.assign(part=part)[columns]
 

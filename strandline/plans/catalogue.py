@@ -281,7 +281,7 @@ _PLACES = f""",
 l AS (SELECT *, max(ms) OVER (PARTITION BY user_key) AS final FROM g WHERE lat IS NOT NULL AND lng IS NOT NULL),
 d AS (SELECT p.user_key, p.seq, p.ts, p.ms, p.mode, p.lat, p.lng, coalesce(max(CASE WHEN q.seq IS NULL THEN NULL WHEN abs(p.lat - q.lat) <= 1e-4 AND abs(p.lng - q.lng) <= 1e-4 THEN 0 ELSE {_metres('p', 'q')} END), -1) AS max_m
   FROM l p LEFT JOIN l q ON p.user_key = q.user_key AND q.seq > p.seq AND q.ms BETWEEN p.ms AND p.ms + {AHEAD_MS} WHERE p.final - p.ms > {AHEAD_MS} GROUP BY ALL),
-s AS (SELECT *, coalesce(last_value(CASE WHEN {_ACTIVE} AND max_m > 100 THEN 'Moves' WHEN max_m > 2000 THEN 'Moves' WHEN max_m < 50 THEN 'Place' END IGNORE NULLS) OVER (PARTITION BY user_key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Place') AS state FROM d)"""
+s AS (SELECT *, coalesce(last_value(CASE WHEN {_ACTIVE} AND max_m > 100 THEN 'Moves' WHEN max_m > 2000 THEN 'Moves' WHEN max_m >= 0 AND max_m < 50 THEN 'Place' END IGNORE NULLS) OVER (PARTITION BY user_key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Place') AS state FROM d)"""
 _EPISODES = f""",
 w AS (SELECT *, {_DAY} AS win_begin FROM g), c AS (SELECT * FROM w QUALIFY win_begin < max(win_begin) OVER (PARTITION BY user_key)),
 f AS (SELECT *, ((ms - lag(ms) OVER o) // 1000 > {GAP_S}) OR (NOT {_ACTIVE} AND ms - last_value(CASE WHEN {_ACTIVE} THEN ms END IGNORE NULLS) OVER (PARTITION BY user_key, win_begin ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 600000) AS ends FROM c WINDOW o AS (PARTITION BY user_key, win_begin ORDER BY ts, seq)),

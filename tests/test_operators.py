@@ -134,6 +134,9 @@ def test_place_state(spark):
 
     assert [state("WALK", m) for m in (99.9, 100.1)] == ["Place", "Moves"]
     assert [state("STILL", m) for m in (49.9, 1999, 2001)] == ["Place", "Place", "Moves"]
+    # A record with none within ten minutes after it stays in the state before it.
+    far = [(0, "STILL", 40.0, -74.0, 5.0), (300, "STILL", 41.0, -74.0, 5.0), (2000, "STILL", 41.0, -74.0, 5.0), (9000, "STILL", 41.0, -74.0, 5.0)]
+    assert [r.state for r in places.place_state(stream(spark, far)).orderBy("seq").collect()] == ["Moves", "Moves", "Moves"]
 
 
 def test_place_segments(spark):
@@ -143,9 +146,14 @@ def test_place_segments(spark):
     assert run([(0, "Place"), (1200, "Place"), (2401, "Moves")]).agg(F.count_distinct("segment")).first()[0] == 1
     assert run([(0, "Place"), (1200.001, "Place"), (2401, "Moves")]).agg(F.count_distinct("segment")).first()[0] == 2
     assert places.segment_rows(run([(0, "Place"), (10, "Moves"), (20, "Moves"), (30, "Place")])).count() == 1
-    long = [(i * 600, "Place", 40.0, -74.0, 1.0) for i in range(40)] + [(24_001, "Moves", 40.0, -74.0, 1.0)]
-    parts = places.segment_rows(places.split_long(run(long))).orderBy("part").collect()
-    assert [r.points for r in parts] == [15, 15, 10]
+
+    def parts(n):
+        """Records ten minutes apart, then one of another state."""
+        long = [(i * 600, "Place", 40.0, -74.0, 1.0) for i in range(n)] + [(n * 600, "Moves", 40.0, -74.0, 1.0)]
+        return [r.points for r in places.segment_rows(places.split_long(run(long))).orderBy("part").collect()]
+
+    # A segment is cut when a further record of its own arrives, never at its end.
+    assert [parts(n) for n in (25, 26, 40, 41)] == [[25], [15, 11], [15, 25], [15, 15, 11]]
 
 
 def test_split_and_clip(spark):
