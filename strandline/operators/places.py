@@ -116,8 +116,15 @@ def place_segments(df: DataFrame, *, ahead_ms: int = AHEAD_MS, max_gap_ms: int =
     Records with a ``loc_ts`` go by the time of their location.
     """
     df = by_location_time(df) if "loc_ts" in df.columns else df
-    held = with_segments(place_state(df, ahead_ms=ahead_ms), max_gap_ms=max_gap_ms, include_open=include_open)
-    rows = segment_rows(split_long(held) if long_split else held)
+    if long_split:
+        # Parts cut off from the open segment are complete; its last part is not.
+        held = split_long(with_segments(place_state(df, ahead_ms=ahead_ms), max_gap_ms=max_gap_ms, include_open=True))
+        if not include_open:
+            at = F.struct("segment", "part")
+            held = held.withColumn("_open", F.max(at).over(Window.partitionBy("user_key"))).filter(at < F.col("_open")).drop("_open")
+    else:
+        held = with_segments(place_state(df, ahead_ms=ahead_ms), max_gap_ms=max_gap_ms, include_open=include_open)
+    rows = segment_rows(held)
     return split_by_day(rows) if by_day else rows
 
 

@@ -226,15 +226,16 @@ SELECT user_key, win_begin, round(sum(miles), 6) AS miles, CAST(coalesce(sum(dur
 _HOUR_MS = 3_600_000
 #: Long segments are cut by recursion over their points; a user's places are named by recursion over the places.
 _SPLIT = f"""{_SEGMENTS},
-a AS (SELECT *, row_number() OVER (PARTITION BY user_key, segment ORDER BY ts, seq) - 1 AS i FROM v),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_key, segment ORDER BY ts, seq) - 1 AS i FROM u),
 c AS (SELECT user_key, segment, i, ms AS ms1, ms AS ms0, CAST(0 AS BIGINT) AS begin FROM a WHERE i = 0
   UNION ALL SELECT user_key, segment, i, ms, CASE WHEN far THEN kept ELSE ms0 END, CASE WHEN far THEN i - {places.HELD_POINTS} ELSE begin END
   FROM (SELECT a.user_key, a.segment, a.i, a.ms, c.ms0, c.begin, h.ms AS kept, (c.ms1 - c.ms0) // {_HOUR_MS} > {places.LONG_HOURS} AND a.i - c.begin > {places.LONG_POINTS} AS far
     FROM c JOIN a ON a.user_key = c.user_key AND a.segment = c.segment AND a.i = c.i + 1
     LEFT JOIN a h ON h.user_key = a.user_key AND h.segment = a.segment AND h.i = a.i - {places.HELD_POINTS})),
 cuts AS (SELECT DISTINCT user_key, segment, begin FROM c WHERE begin > 0),
-parts AS (SELECT a.user_key, a.segment, a.state, a.ts, a.seq, a.ms, a.lat, a.lng, CAST(count(cuts.begin) AS INT) AS part
+all_parts AS (SELECT a.user_key, a.segment, a.state, a.ts, a.seq, a.ms, a.lat, a.lng, CAST(count(cuts.begin) AS INT) AS part
   FROM a LEFT JOIN cuts ON cuts.user_key = a.user_key AND cuts.segment = a.segment AND cuts.begin <= a.i GROUP BY ALL),
+parts AS (SELECT * FROM all_parts QUALIFY (segment, part) < max((segment, part)) OVER (PARTITION BY user_key)),
 rows_ AS (SELECT user_key, segment, part, state, min(ms) AS lo, max(ms) AS hi, count(*) AS points, median(lat) AS lat, median(lng) AS lng
   FROM parts GROUP BY user_key, segment, part, state HAVING min(ms) < max(ms)),
 days AS (SELECT *, unnest(generate_series(lo // 86400000, hi // 86400000)) AS d FROM rows_),
