@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.times import FIXED_MS, local, ms, window_begin, window_end
+from strandline.operators.blocks import with_prior
 from strandline.operators.windows import closed_only, with_window
 
 MAX_GAP_MS = 420_000
@@ -17,13 +18,17 @@ def clamp(coverage: Column, *, strict: bool = False) -> Column:
     return F.when(coverage > 1.1, F.raise_error(F.lit("coverage over 1.1")).cast("double")).otherwise(least) if strict else least
 
 
-def mobility_coverage(df: DataFrame, unit: str = "hour", *, max_gap_ms: int = MAX_GAP_MS, include_open: bool = False, strict: bool = False) -> DataFrame:
+def mobility_coverage(df: DataFrame, unit: str = "hour", *, max_gap_ms: int = MAX_GAP_MS, include_open: bool = False, strict: bool = False, block_rows: int | None = None) -> DataFrame:
     """Share of each window covered by gaps under ``max_gap_ms`` to the record before.
 
-    A gap counts wholly in its later record's window, even if it began before it.
+    A gap counts wholly in its later record's window, even if it began before it. With
+    ``block_rows``, users with more records are cut in blocks, so that none is sorted in one task.
     """
-    gap = ms("ts") - F.lag(ms("ts")).over(Window.partitionBy("user_key").orderBy("ts", "seq"))
-    held = with_window(df.withColumn("_gap", gap), unit, first_zone=False)
+    if block_rows:
+        df = with_prior(df, ms("ts"), ["ts", "seq"], ms("ts").cast("double"), greatest=False, block_rows=block_rows).withColumn("_gap", ms("ts") - F.col("_prior")).drop("_prior")
+    else:
+        df = df.withColumn("_gap", ms("ts") - F.lag(ms("ts")).over(Window.partitionBy("user_key").orderBy("ts", "seq")))
+    held = with_window(df, unit, first_zone=False)
     out = held.groupBy("user_key", "win_begin", "win_end").agg(F.coalesce(F.sum(F.when(F.col("_gap") < max_gap_ms, F.col("_gap"))), F.lit(0)).alias("_ms"))
     out = out.withColumn("coverage", clamp(F.col("_ms") / (ms("win_end") - ms("win_begin")), strict=strict)).drop("_ms")
     return out if include_open else closed_only(out)

@@ -42,6 +42,15 @@ def closed_only(df: DataFrame, *, begin: str = "win_begin") -> DataFrame:
     return df.withColumn("_last", last).filter(F.col(begin) < F.col("_last")).drop("_last")
 
 
+def last_windows(records: DataFrame, rows: DataFrame, *, begin: str = "win_begin") -> DataFrame:
+    """Drops from ``rows`` each user's last window of ``records``.
+
+    The last windows come from an aggregate, so the records are neither sorted nor shuffled.
+    """
+    last = records.groupBy(F.col("user_key").alias("_user")).agg(F.max(begin).alias("_last"))
+    return rows.join(last, F.col("user_key").eqNullSafe(F.col("_user"))).filter(F.col(begin) < F.col("_last")).drop("_user", "_last")
+
+
 def window_task(df: DataFrame, unit: str, *aggs: Column, include_open: bool = False, n: int = 1, first_zone: bool = False) -> DataFrame:
     """One row per user and window: user_key, win_begin, win_end and the aggregates. Empty windows have none.
 

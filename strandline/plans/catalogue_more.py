@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.geo import DRIFT_M_S, LEAST_ACCURACY
 from strandline.functions.times import ms
 from strandline.functions.values import STATES
-from strandline.operators import coverage, hmm, ordering, places, segments, windows
+from strandline.operators import blocks, coverage, hmm, ordering, places, segments, windows
 from strandline.plans import catalogue as base
 from strandline.sources import records
 
@@ -88,7 +88,24 @@ def sharded_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base._ntz(ordering.monotonic_gate(m).select("user_key", "seq", "ts"))
 
 
+def _half_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user that holds half of all records."""
+    m = records.mobility(spark, sf_dir)
+    return m.withColumn("user_key", F.when(F.col("seq") % 2 == 0, F.lit(-1)).otherwise(F.col("user_key")).cast("long"))
+
+
+def split_user_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base._ntz(blocks.split_gate(_half_one(spark, sf_dir), block_rows=1000).select("user_key", "seq", "ts"))
+
+
+def split_user_coverage_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = coverage.mobility_coverage(blocks.split_gate(_half_one(spark, sf_dir), block_rows=1000), block_rows=1000)
+    return base._ntz(c.select("user_key", "win_begin", F.round("coverage", 6).alias("coverage")))
+
+
 QUERIES = [
+    split_user_gate,
+    split_user_coverage_hourly,
     zoned_windows,
     first_zone_windows,
     zoned_split_by_day,
@@ -249,9 +266,20 @@ SELECT s.user_key, s.segment, s.part, s.state, make_timestamp(s.lo * 1000) AS st
 FROM slices s LEFT JOIN lead_ l ON s.state = 'Place' AND l.user_key = s.user_key AND l.segment = s.segment AND l.part = s.part AND l.lo = s.lo WHERE s.lo < s.hi"""
 
 
+_HALF = """,
+hm AS (SELECT CASE WHEN seq % 2 = 0 THEN CAST(-1 AS BIGINT) ELSE user_key END AS user_key, seq, ts, ms FROM m),
+hg AS (SELECT * FROM hm QUALIFY ms > coalesce(max(ms) OVER (PARTITION BY user_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))"""
+_HALF_COVERAGE = f"""{_HALF},
+hw AS (SELECT *, date_trunc('hour', ts) AS win_begin, ms - lag(ms) OVER (PARTITION BY user_key ORDER BY ts, seq) AS gap FROM hg),
+hc AS (SELECT user_key, win_begin, round(least(1.0, coalesce(sum(gap) FILTER (gap < {coverage.MAX_GAP_MS}), 0) / CAST(3599999 AS DOUBLE)), 6) AS coverage FROM hw GROUP BY ALL)
+SELECT user_key, CAST(win_begin AS TIMESTAMP) AS win_begin, coverage FROM hc QUALIFY win_begin < max(win_begin) OVER (PARTITION BY user_key)"""
+
+
 def oracle_sql() -> dict[str, str]:
     with_m = "WITH RECURSIVE " + base.MOBILITY
     return {
+        "split_user_gate": f"{with_m}{_HALF} SELECT user_key, seq, ts FROM hg",
+        "split_user_coverage_hourly": f"{with_m}{_HALF_COVERAGE}",
         "zoned_windows": f"{with_m}{_ZONED} {_zoned_windows()}",
         "first_zone_windows": f"{with_m}{_ZONED}{_FIRST_ZONE}",
         "zoned_split_by_day": f"{with_m}{_ZONED}{_ZONED_SPLIT}",

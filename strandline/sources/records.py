@@ -123,7 +123,18 @@ def odd(df: DataFrame) -> DataFrame:
 # --- views of the driver tables --------------------------------------------
 def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as mobility records: 75 users each become one, dense enough for minute-scale rules."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    return as_mobility(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def mobility_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mobility`` over a stream of the table's files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # Given as a pattern, the table may be one file as well as a folder.
+    return as_mobility(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def as_mobility(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
     kind = {"view": "still", "click": "walking", "signup": "running", "purchase": "drive"}
     raw = F.when(F.col("k") >= 95, "moonwalk")
     for event, mode in kind.items():

@@ -8,6 +8,7 @@ micro-batch that is run again starts from the state before it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strandline.functions.times import local, ms, window_begin
 from strandline.functions.values import ACTIVE
+from strandline.session import shared_dir, with_workers
 from strandline.sources.sinks import batch_writer, wipe
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -120,3 +122,17 @@ def run_to_target(df: DataFrame, target: str, checkpoint: str, *, interval: str
         wipe(df.sparkSession, checkpoint, target)
     writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch_writer(target, dry_run=dry_run))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def run_to_end(df: DataFrame) -> DataFrame:
+    """All rows that a stream gives up to its present end, as a table in the shared folder.
+
+    A micro-batch has a folder of its own, so one that is tried again replaces itself.
+    """
+    spark = with_workers(df.sparkSession)
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # An empty stream has no micro-batch, but a table of no rows.
+    spark.createDataFrame([], df.schema).write.parquet(f"{at}/rows/batch=-1")
+    writer = df.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")).start().awaitTermination()
+    return spark.read.schema(df.schema.add("batch", "long")).parquet(f"{at}/rows").drop("batch")

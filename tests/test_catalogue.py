@@ -2,10 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from strandline.plans import catalogue, catalogue_more
+from strandline.plans import catalogue, catalogue_more, catalogue_streams
 
-QUERIES = catalogue.queries() | catalogue_more.queries()
-SQL = catalogue.oracle_sql() | catalogue_more.oracle_sql()
+QUERIES = catalogue.queries() | catalogue_more.queries() | catalogue_streams.queries()
+SQL = catalogue.oracle_sql() | catalogue_more.oracle_sql() | catalogue_streams.oracle_sql()
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

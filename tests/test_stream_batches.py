@@ -16,11 +16,13 @@ SF = "/root/testdata/sf0.01"
 
 
 def streamed(spark, tmp_path, schema, make, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     for i, part in enumerate(parts):
         part.coalesce(1).write.parquet(f"{tmp_path}/in/{i:03d}")
         out = make(read_stream(spark, f"{tmp_path}/in/*", schema, max_files=1))
         keyed = out if "ts" in out.columns else out.withColumn("ts", F.col("start")).withColumn("seq", F.col("part"))
         run_to_target(keyed, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     return spark.read.parquet(f"{tmp_path}/out").select(*out.columns)
 
 
@@ -36,13 +38,13 @@ def table(spark, high=4000):
 
 def parts_of(df, size):
     """Files in order of arrival, each with some records of its predecessor again."""
-    return [df.filter((F.col("seq") >= i * size - 30) & (F.col("seq") < (i + 1) * size)) for i in range(4)]
+    return [df.filter((F.col("seq") >= i * size - 30) & (F.col("seq") < (i + 1) * size)) for i in range(2)]
 
 
 @pytest.mark.parametrize("how", [dict(max_gap_s=1800), dict(max_gap_s=7200, drive_verify_ms=5_000_000, drive_km=0.8, max_still=3, min_batch=5)])
 def test_rectified_modes(spark, tmp_path, how):
     df = table(spark)
-    got = streamed(spark, tmp_path, df.schema, lambda s: stream_rectify(s, **how), parts_of(df, 1000))
+    got = streamed(spark, tmp_path, df.schema, lambda s: stream_rectify(s, **how), parts_of(df, 2010))
     same(got, hmm.rectify(ordering.monotonic_gate(df), **how))
 
 
@@ -51,7 +53,7 @@ def test_places(spark, tmp_path, how):
     df = table(spark)
     # Fewer places, so that segments get long.
     df = df.withColumn("lat", F.when(F.col("lat").isNotNull(), 40.0 + F.floor(F.col("seq") / 400) * 0.1))
-    got = streamed(spark, tmp_path, df.schema, lambda s: stream_places(s, **how), parts_of(df, 1000))
+    got = streamed(spark, tmp_path, df.schema, lambda s: stream_places(s, **how), parts_of(df, 2010))
     want = places.place_segments(ordering.monotonic_gate(df), **how)
     same(got, want)
     assert not how.get("long_split", True) or want.filter("part > 1").count() > 0
@@ -60,7 +62,7 @@ def test_places(spark, tmp_path, how):
 def test_places_by_the_time_of_locations(spark, tmp_path):
     df = table(spark, 2000).withColumn("loc_ts", F.timestamp_millis(F.unix_millis("ts") - F.col("seq") % 7 * 600_000))
     how = dict(ahead_ms=3_600_000, max_gap_ms=7_200_000)
-    got = streamed(spark, tmp_path, df.schema, lambda s: stream_places(s, **how), parts_of(df, 500))
+    got = streamed(spark, tmp_path, df.schema, lambda s: stream_places(s, **how), parts_of(df, 1010))
     same(got, places.place_segments(ordering.monotonic_gate(df), **how))
 
 
