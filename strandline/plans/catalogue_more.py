@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.geo import DRIFT_M_S, LEAST_ACCURACY
 from strandline.functions.times import ms
 from strandline.functions.values import STATES
-from strandline.operators import blocks, coverage, hmm, ordering, places, segments, windows
+from strandline.operators import addresses, blocks, coverage, hmm, ordering, places, segments, windows
 from strandline.plans import catalogue as base
 from strandline.sources import records
 
@@ -103,7 +103,14 @@ def split_user_coverage_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base._ntz(c.select("user_key", "win_begin", F.round("coverage", 6).alias("coverage")))
 
 
+def shared_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every accurate fix of all users, named by one table.
+    p = ordering.accurate(base._gated(spark, sf_dir)).select("user_key", F.col("ts").alias("start"), F.col("seq").alias("segment"), "lat", "lng")
+    return base._ntz(addresses.with_addresses(p, addresses.new_addresses(p)).select("user_key", "segment", "start", "place_id"))
+
+
 QUERIES = [
+    shared_addresses,
     split_user_gate,
     split_user_coverage_hourly,
     zoned_windows,
@@ -266,6 +273,15 @@ SELECT s.user_key, s.segment, s.part, s.state, make_timestamp(s.lo * 1000) AS st
 FROM slices s LEFT JOIN lead_ l ON s.state = 'Place' AND l.user_key = s.user_key AND l.segment = s.segment AND l.part = s.part AND l.lo = s.lo WHERE s.lo < s.hi"""
 
 
+#: Fixes of all users are named by recursion over them, in the order of time.
+_ADDRESSES = f""",
+ao AS (SELECT user_key, seq AS segment, ts, ms AS lo, lat, lng, row_number() OVER (ORDER BY ms, CAST(user_key AS VARCHAR), seq) AS n
+  FROM g WHERE lat IS NOT NULL AND lng IS NOT NULL AND accuracy <= 100),
+al AS (SELECT n, [{{'lat': lat, 'lng': lng, 'id': n}}] AS seen, n AS at FROM ao WHERE n = 1
+  UNION ALL SELECT n, CASE WHEN found > 0 THEN seen ELSE list_append(seen, {{'lat': lat, 'lng': lng, 'id': n}}) END, CASE WHEN found > 0 THEN seen[found].id ELSE n END
+  FROM (SELECT ao.n, ao.lat, ao.lng, l.seen, coalesce(list_position(list_transform(l.seen, lambda x: {base._metres('ao', 'x')} < {places.PLACE_M}), TRUE), 0) AS found FROM al l JOIN ao ON ao.n = l.n + 1))
+SELECT p.user_key, p.segment, p.ts AS start, f.lo || '/' || f.user_key || '/' || f.segment AS place_id
+FROM ao p JOIN al ON al.n = p.n JOIN ao f ON f.n = al.at"""
 _HALF = """,
 hm AS (SELECT CASE WHEN seq % 2 = 0 THEN CAST(-1 AS BIGINT) ELSE user_key END AS user_key, seq, ts, ms FROM m),
 hg AS (SELECT * FROM hm QUALIFY ms > coalesce(max(ms) OVER (PARTITION BY user_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))"""
@@ -278,6 +294,7 @@ SELECT user_key, CAST(win_begin AS TIMESTAMP) AS win_begin, coverage FROM hc QUA
 def oracle_sql() -> dict[str, str]:
     with_m = "WITH RECURSIVE " + base.MOBILITY
     return {
+        "shared_addresses": f"{with_m}{_ADDRESSES}",
         "split_user_gate": f"{with_m}{_HALF} SELECT user_key, seq, ts FROM hg",
         "split_user_coverage_hourly": f"{with_m}{_HALF_COVERAGE}",
         "zoned_windows": f"{with_m}{_ZONED} {_zoned_windows()}",
