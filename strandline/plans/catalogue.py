@@ -107,7 +107,8 @@ def place_segments_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = ordering.accurate(records.mobility(spark, sf_dir)).select("user_key", "seq", "lat", "lng")
-    gazetteer = spark.range(40).select(F.col("id").alias("place_id"), (40.70 + F.col("id") * 0.0005).alias("lat"), (-74.0 + (F.col("id") % 10) * 0.0005).alias("lng"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("id"))
+    gazetteer = s.select(F.col("id").alias("place_id"), (40.70 + F.col("id") * 0.0005).alias("lat"), (-74.0 + (F.col("id") % 10) * 0.0005).alias("lng"))
     return places.nearest_place(points, gazetteer).select("user_key", "seq", "place_id")
 
 
@@ -190,8 +191,13 @@ def upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tick_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = records.odd(records.ticks(spark, 1_356_998_400_000, 4 * 3600))
-    return _ntz(activity.record_count(odd, "hour").select("user_key", "win_begin", "records"))
+    # A user has a tick a second from the first record on, as many as records.
+    m = records.mobility(spark, sf_dir)
+    user = Window.partitionBy("user_key")
+    first = F.ceil(F.min(ms("ts")).over(user) / 1000) * 1000
+    at = first + (F.row_number().over(user.orderBy("seq")) - 1) * 1000
+    ticks = m.select("user_key", "seq", "tz", at.cast("long").alias("data")).withColumn("ts", F.timestamp_millis("data"))
+    return _ntz(activity.record_count(records.odd(ticks), "hour").select("user_key", "win_begin", "records"))
 
 
 def mail_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "geodiameter_daily": f"{with_m}, w AS (SELECT *, {_DAY} AS win_begin FROM g), c AS (SELECT * FROM w QUALIFY win_begin < max(win_begin) OVER (PARTITION BY user_key)), a AS (SELECT * FROM c WHERE lat IS NOT NULL AND accuracy <= 100) SELECT p.user_key, p.win_begin, min(p.ts) AS first_ts, round(max({_metres('p', 'q', 6371009.0 / 1609.344)}), 6) AS miles FROM a p JOIN a q ON p.user_key = q.user_key AND p.win_begin = q.win_begin GROUP BY ALL HAVING count(DISTINCT (p.lat, p.lng)) > 1",
         "place_state": f"{with_m}{_PLACES} SELECT user_key, seq, ts, round(max_m, 3) AS max_m, state FROM s",
         "place_segments": f"{with_m}{_PLACES}, t AS (SELECT *, (state <> lag(state) OVER o) OR (ms - lag(ms) OVER o > {SEGMENT_MS}) AS cut FROM s WINDOW o AS (PARTITION BY user_key ORDER BY ts, seq)), u AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY user_key ORDER BY ts, seq) AS segment FROM t), v AS (SELECT * FROM u QUALIFY segment < max(segment) OVER (PARTITION BY user_key)) SELECT user_key, state, min(ts) AS start, max(ts) AS \"end\", count(*) AS points, CASE WHEN state = 'Place' THEN round(median(lat), 4) END AS lat, CASE WHEN state = 'Place' THEN round(median(lng), 4) END AS lng FROM v GROUP BY user_key, segment, state HAVING min(ts) < max(ts)",
-        "nearest_place": f"{with_m}, p AS (SELECT i AS place_id, 40.70 + i * 0.0005E0 AS lat, -74.0 + (i % 10) * 0.0005E0 AS lng FROM range(40) r(i)), a AS (SELECT * FROM m WHERE lat IS NOT NULL AND accuracy <= 100) SELECT a.user_key, a.seq, arg_min(p.place_id, {_metres('a', 'p')}) FILTER ({_metres('a', 'p')} < 30) AS place_id FROM a CROSS JOIN p GROUP BY ALL",
+        "nearest_place": f"{with_m}, p AS (SELECT CAST(s_suppkey AS BIGINT) AS place_id, 40.70 + s_suppkey * 0.0005E0 AS lat, -74.0 + (s_suppkey % 10) * 0.0005E0 AS lng FROM supplier), a AS (SELECT * FROM m WHERE lat IS NOT NULL AND accuracy <= 100) SELECT a.user_key, a.seq, arg_min(p.place_id, {_metres('a', 'p')}) FILTER ({_metres('a', 'p')} < 30) AS place_id FROM a CROSS JOIN p GROUP BY ALL",
         "home_time": f"{with_m}{_HOME}",
         "segment_dedup": f"{with_m}{_DEDUP} SELECT user_key, seq, {_stamp('a')} AS start, {_stamp('b')} AS \"end\" FROM z",
         "split_by_day": f"{with_m}, s AS (SELECT user_key, seq, ms AS a, ms + seq % 5 * 50000000 AS b FROM m), d AS (SELECT *, unnest(generate_series(a // {day_ms}, b // {day_ms})) AS d FROM s), c AS (SELECT user_key, seq, greatest(a, d * {day_ms}) AS lo, least(b, (d + 1) * {day_ms} - 1) AS hi FROM d) SELECT user_key, seq, {_stamp('lo')} AS start, {_stamp('hi')} AS \"end\" FROM c WHERE lo < hi",
@@ -338,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "store_range_topk": f"{with_m} SELECT user_key, seq, ts FROM m WHERE user_key = 0 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY ts DESC, seq DESC LIMIT 100",
         "stream_scan": f"{with_m} SELECT user_key, seq, ts, mode FROM m WHERE ts >= TIMESTAMP '2024-01-15'",
         "upsert_last": f"{with_m} SELECT user_key, {_HOUR} AS ts, seq, mode FROM m QUALIFY row_number() OVER (PARTITION BY user_key, {_HOUR} ORDER BY seq DESC) = 1",
-        "tick_count": "SELECT 'tick' AS user_key, TIMESTAMP '2013-01-01' + to_hours(CAST(i AS INT)) AS win_begin, CAST(1800 AS BIGINT) AS records FROM range(3) r(i)",
+        "tick_count": f"{with_m}, u AS (SELECT user_key, (min(ms) + 999) // 1000 * 1000 AS f, count(*) AS n FROM m GROUP BY user_key), t AS (SELECT user_key, f + unnest(range(n)) * 1000 AS d FROM u), x AS (SELECT user_key, CAST(date_trunc('hour', make_timestamp(d * 1000)) AS TIMESTAMP) AS win_begin, count(*) AS records FROM t WHERE d % 2000 <> 0 GROUP BY ALL) SELECT * {_CLOSED}",
         "mail_clean": "SELECT doc_id, md5(text || CASE WHEN doc_id % 4 IN (0, 2, 3) THEN chr(10) ELSE '' END) AS cleaned FROM documents",
         "sent_mail": "SELECT conv_id, md5(coalesce(string_agg(CASE WHEN role <> 'user' THEN text END, '' ORDER BY turn), '')) AS content, bool_or(role = 'user') AS attachment FROM conversations GROUP BY conv_id",
         "wifi_scan": f"{with_m} SELECT seq, CASE WHEN k % 7 <> 0 THEN 2 END AS n, CASE WHEN k % 7 <> 0 THEN CAST(112394521856 AS BIGINT) + k + 1 END AS last FROM m",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from strandline.functions.times import ms
 from strandline.functions.values import STATES
 from strandline.operators import addresses, blocks, coverage, hmm, ordering, places, segments, windows
 from strandline.plans import catalogue as base
+from strandline.session import shared_dir
 from strandline.sources import records
+from strandline.sources.store import Store
 
 #: The events are of January; so many days later they lie around the changes of offset of America/New_York and Europe/Berlin.
 SHIFT_DAYS = 69
@@ -109,7 +113,17 @@ def shared_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base._ntz(addresses.with_addresses(p, addresses.new_addresses(p)).select("user_key", "segment", "start", "place_id"))
 
 
+def store_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Two writes into a store: in an hour of a user the second one's last record stays, if it has any.
+    m = records.mobility(spark, sf_dir).select("user_key", "seq", F.date_trunc("hour", "ts").alias("ts"), "mode")
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", user_parts=4)
+    store.upsert(m.filter("seq % 3 <> 0"), 0)
+    store.upsert(m.filter("seq % 3 = 0"), 1)
+    return base._ntz(store.read(since=datetime(2024, 1, 5), until=datetime(2024, 1, 20)))
+
+
 QUERIES = [
+    store_upserts,
     shared_addresses,
     split_user_gate,
     split_user_coverage_hourly,
@@ -294,6 +308,7 @@ SELECT user_key, CAST(win_begin AS TIMESTAMP) AS win_begin, coverage FROM hc QUA
 def oracle_sql() -> dict[str, str]:
     with_m = "WITH RECURSIVE " + base.MOBILITY
     return {
+        "store_upserts": f"{with_m}, h AS (SELECT user_key, seq, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, mode FROM m) SELECT * FROM h WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_key, ts ORDER BY seq % 3 = 0 DESC, seq DESC) = 1",
         "shared_addresses": f"{with_m}{_ADDRESSES}",
         "split_user_gate": f"{with_m}{_HALF} SELECT user_key, seq, ts FROM hg",
         "split_user_coverage_hourly": f"{with_m}{_HALF_COVERAGE}",
