@@ -31,10 +31,11 @@ def group_state(group: Column | str) -> Column:
     return F.coalesce(*[F.when(g == k, F.lit(v)) for k, v in GROUPS.items()], F.raise_error(F.concat(F.lit("unknown activity group: "), g)).cast("string"))
 
 
-#: Where a quoted message begins: a line of dashes around a notice, two header lines or more, or "On ... wrote:".
+_HEADER = r"[ \t>]*(?:from|to|cc|bcc|subject|sent|date|time)[ \t]*:[^\n]*"
+#: Where a quoted message begins: two header lines or more, with a line of dashes before them if there is one, or "On ... wrote:".
 REPLY = (
-    r"(?im)^[ \t]*-{2,}[^\n-]*(?:original message|forwarded message|forwarded by)[^\n]*$"
-    r"|^[ \t>]*(?:from|to|cc|bcc|subject|sent|date)[ \t]*:[^\n]*(?:\n[ \t>]*(?:from|to|cc|bcc|subject|sent|date)[ \t]*:[^\n]*)+"
+    r"(?im)^(?:[ \t>]*-+[ \t]*(?:original(?:[ \t]message)?|forwarded message|forwarded by[^\n]*?)?[ \t]*-+[ \t]*\n)?"
+    rf"{_HEADER}(?:\n{_HEADER})+"
     r"|^[ \t>]*on [^\n]{0,200}(?:\n[^\n]{0,100})?wrote[ \t]*:"
 )
 
@@ -88,5 +89,12 @@ def body(parts: Column | str) -> Column:
     return F.concat_ws("", F.transform(F.filter(parts, lambda p: ~F.coalesce(p["attachment"], F.lit(False))), lambda p: p["text"]))
 
 
+def email_of(meta: Column | str) -> Column:
+    """The first ``email`` field of a JSON text at any depth, in its order; null if there is none or it is no text."""
+    meta = F.col(meta) if isinstance(meta, str) else meta
+    found = F.regexp_extract(meta, r'"email"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|.)', 1)
+    return F.when(found != "", found)
+
+
 def has_attachment(parts: Column | str) -> Column:
     return F.coalesce(F.exists(parts, lambda p: F.coalesce(p["attachment"], F.lit(False))), F.lit(False))

@@ -202,7 +202,11 @@ def tick_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mail_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    quoted = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\nOn Mon Jun 7, 2010 at 8:50 PM, X wrote:\n> quoted"))).when(F.col("doc_id") % 4 == 2, F.concat("text", F.lit("\n----- Original Message -----\nmore"))).when(F.col("doc_id") % 4 == 3, F.concat("text", F.lit("\nFrom: a\nTo: b\nSubject: c\nmore"))).otherwise(F.col("text"))
+    # Replies, quoted messages with their headers, headers alone; a marker without headers is text.
+    i, marker = F.col("doc_id"), "\n----- Original Message -----\n"
+    quoted = F.when(i % 4 == 0, F.concat("text", F.lit("\nOn Mon Jun 7, 2010 at 8:50 PM, X wrote:\n> quoted")))
+    quoted = quoted.when(i % 4 == 2, F.concat("text", F.lit(f"{marker}From: a\nSubject: b\nmore"))).when(i % 4 == 3, F.concat("text", F.lit("\nFrom: a\nTo: b\nSubject: c\nmore")))
+    quoted = quoted.when(i % 8 == 1, F.concat("text", F.lit(f"{marker}more"))).otherwise(F.col("text"))
     return d.select("doc_id", F.md5(values.clean_mail(quoted)).alias("cleaned"))
 
 
@@ -210,6 +214,7 @@ def sent_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     part = F.struct("turn", F.col("text").alias("text"), (F.col("role") == "user").alias("attachment"))
     mail = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    mail = mail.withColumn("folder", F.when(F.col("conv_id") % 3 == 0, "INBOX").otherwise(records.SENT_FOLDER))
     return records.sent_mail(mail).select("conv_id", F.md5("content").alias("content"), "attachment")
 
 
@@ -345,8 +350,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_scan": f"{with_m} SELECT user_key, seq, ts, mode FROM m WHERE ts >= TIMESTAMP '2024-01-15'",
         "upsert_last": f"{with_m} SELECT user_key, {_HOUR} AS ts, seq, mode FROM m QUALIFY row_number() OVER (PARTITION BY user_key, {_HOUR} ORDER BY seq DESC) = 1",
         "tick_count": f"{with_m}, u AS (SELECT user_key, (min(ms) + 999) // 1000 * 1000 AS f, count(*) AS n FROM m GROUP BY user_key), t AS (SELECT user_key, f + unnest(range(n)) * 1000 AS d FROM u), x AS (SELECT user_key, CAST(date_trunc('hour', make_timestamp(d * 1000)) AS TIMESTAMP) AS win_begin, count(*) AS records FROM t WHERE d % 2000 <> 0 GROUP BY ALL) SELECT * {_CLOSED}",
-        "mail_clean": "SELECT doc_id, md5(text || CASE WHEN doc_id % 4 IN (0, 2, 3) THEN chr(10) ELSE '' END) AS cleaned FROM documents",
-        "sent_mail": "SELECT conv_id, md5(coalesce(string_agg(CASE WHEN role <> 'user' THEN text END, '' ORDER BY turn), '')) AS content, bool_or(role = 'user') AS attachment FROM conversations GROUP BY conv_id",
+        "mail_clean": "SELECT doc_id, md5(text || CASE WHEN doc_id % 4 IN (0, 2, 3) THEN chr(10) WHEN doc_id % 8 = 1 THEN chr(10) || '----- Original Message -----' || chr(10) || 'more' ELSE '' END) AS cleaned FROM documents",
+        "sent_mail": "SELECT conv_id, md5(coalesce(string_agg(CASE WHEN role <> 'user' THEN text END, '' ORDER BY turn), '')) AS content, bool_or(role = 'user') AS attachment FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id",
         "wifi_scan": f"{with_m} SELECT seq, CASE WHEN k % 7 <> 0 THEN 2 END AS n, CASE WHEN k % 7 <> 0 THEN CAST(112394521856 AS BIGINT) + k + 1 END AS last FROM m",
         "token_map": f"{with_m}{tokens}, k2 AS (SELECT DISTINCT user_key, replace(provider || ':' || scope || '.read', '.', '_') AS key FROM t UNION SELECT DISTINCT user_key, 'extra' FROM t) SELECT user_key, string_agg(key, ';' ORDER BY key) AS keys, bool_or(key = 'google:activity_read') AS both FROM k2 WHERE key <> 'moves:activity_read' GROUP BY user_key",
         "record_json": f"{with_m} SELECT user_key, seq, ts, '-04:00' AS tz, TIMESTAMP '1970-01-01 00:00:01' AS loc_ts, '+01:00' AS loc_tz, raw_mode AS mode FROM m",

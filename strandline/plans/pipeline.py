@@ -93,6 +93,8 @@ class Pipeline:
                 keyed = frame.withColumn("ts", F.col(at)) if at else frame
                 if self.config.cold_start and not self.config.dry_run:
                     wipe(frame.sparkSession, f"{self.config.target_root}/{task.target}")
+                # A record has a time.
+                keyed = keyed.withColumn("ts", F.coalesce("ts", F.raise_error(F.lit(f"{name}: a record without a time")).cast("timestamp")))
                 keyed = keyed if "seq" in keyed.columns else keyed.withColumn("seq", F.lit(0))
                 write_stream(keyed, f"{self.config.target_root}/{task.target}", dry_run=self.config.dry_run)
         return frames

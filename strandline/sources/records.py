@@ -103,9 +103,17 @@ def token_store(events: DataFrame) -> DataFrame:
     return best.filter(~F.coalesce("invalid", F.lit(False))).drop("invalid")
 
 
-def sent_mail(df: DataFrame, since=None) -> DataFrame:
-    """Mail rows (sent_time, parts) -> content without attachments, and whether there is one."""
+#: The folder of what a user has sent; a fixed value.
+SENT_FOLDER = "[Gmail]/Sent Mail"
+
+
+def sent_mail(df: DataFrame, since=None, *, folder: str | None = SENT_FOLDER) -> DataFrame:
+    """Mail rows (sent_time, parts) -> content without attachments, and whether there is one.
+
+    Of rows with a ``folder`` only those of the given one count, unless that is None.
+    """
     out = df if since is None else df.filter(F.col("sent_time") >= F.lit(since))
+    out = out.filter(F.col("folder") == folder) if folder is not None and "folder" in df.columns else out
     return out.withColumn("content", body("parts")).withColumn("attachment", has_attachment("parts")).drop("parts")
 
 

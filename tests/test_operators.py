@@ -251,10 +251,22 @@ def test_segment_home_time(spark):
 
 
 def test_mail(spark):
-    texts = ["hello\nOn Mon, X <x@y> wrote:\n> q", "hello\n----- Original Message -----\nq", "hello\nFrom: a\nSubject: b\nq", "from a to b", "On time he wrote a letter"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
-    assert [r.c.strip() for r in df.select("i", values.clean_mail("content").alias("c")).orderBy("i").collect()] == ["hello"] * 3 + texts[3:]
-    assert mail_pipeline(df).build()["cleaned"].count() == 5
+    quoted = ["hello\nOn Mon, X <x@y> wrote:\n> q", "hello\n----- Original Message -----\nFrom: a\nSent: today\nq", "hello\nFrom: a\nSubject: b\nq", "hello\n------\n> Time: 8:50\n> To: b\nq"]
+    # A marker or a header alone quotes nothing.
+    whole = ["from a to b", "On time he wrote a letter", "hello\n----- Original Message -----\nq", "hello\n-----\nFrom: a\nq"]
+    df = spark.createDataFrame(list(enumerate(quoted + whole)), "i int, content string")
+    assert [r.c.strip() for r in df.select("i", values.clean_mail("content").alias("c")).orderBy("i").collect()] == ["hello"] * len(quoted) + whole
+    assert mail_pipeline(df).build()["cleaned"].count() == len(quoted + whole)
+
+
+def test_sent_mail_folder_and_address(spark):
+    part = [("x", False), ("file", True)]
+    df = spark.createDataFrame([(1, records.SENT_FOLDER, part), (2, "INBOX", part), (3, None, part)], "i int, folder string, parts array<struct<text: string, attachment: boolean>>")
+    assert [(r.i, r.content, r.attachment) for r in records.sent_mail(df).collect()] == [(1, "x", True)]
+    assert records.sent_mail(df, folder=None).count() == 3
+    texts = ['{"a": {"email": "x@y"}, "email": "z@y"}', '{"emails": "no", "b": [{"email" : "q@r"}]}', '{"email": 7, "c": {"email": "z@y"}}', "{}", None]
+    meta = spark.createDataFrame(list(enumerate(texts)), "i int, meta string")
+    assert [r[0] for r in meta.orderBy("i").select(values.email_of("meta")).collect()] == ["x@y", "q@r", None, None, None]
 
 
 def test_modes_and_groups(spark):
