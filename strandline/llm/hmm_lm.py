@@ -6,7 +6,7 @@ emit symbols; a rare or unknown word w of class C has the probability of C in
 the state times (c(w) + 1) / (N_C + V_C + 1), with the counts of all training
 documents. Every round of Baum-Welch goes over all training documents: each task
 sums the expected counts of its documents, and Spark sums them across tasks, of
-which there are a few per core, whatever the size of the data. Scoring is the scaled forward
+which there is one per core, whatever the size of the data. Scoring is the scaled forward
 recursion over the whole text.
 
 Documents are whole in training too. Of a group of documents, the forward states are
@@ -42,7 +42,9 @@ SUFFIX = 3
 SAMPLE_ROUNDS = 10
 ROUNDS = 2
 #: Tasks a core of a round, since each sends its own sums for every symbol.
-CORE_TASKS = 2
+CORE_TASKS = 1
+#: Rows of a block of sums; a core's worth of blocks with one number meet in one task.
+BLOCK_SYMBOLS = 256
 #: Times between the forward states that are kept, at most, and symbols of all documents of a group in between.
 SEGMENT = 1 << 16
 SEGMENT_CELLS = 1 << 18
@@ -50,7 +52,7 @@ SEGMENT_CELLS = 1 << 18
 BLOCK = 16
 PRIOR = 200.0
 #: Bytes of text whose words are counted at once.
-COUNT_BYTES = 1 << 23
+COUNT_BYTES = 1 << 22
 GROUP_DOCS = 512
 
 
@@ -306,19 +308,27 @@ def _sequences(batch: pa.RecordBatch, name: str = "symbols") -> list[np.ndarray]
     return [np.frombuffer(s.as_py(), "<i4") for s in batch.column(batch.schema.get_field_index(name))]
 
 
+SUMS = "block int, sums binary"
+
+
 def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Expected counts of a task's documents: symbol >= 0 emissions, -1 - s moves from state s, -1 - K starts."""
+    """Expected counts of a task's documents, a row for each of emissions, moves and the start, in blocks of ``BLOCK_SYMBOLS`` rows."""
     model: Model = shared.value
-    k, sums = len(model.start), None
+    sums = None
     for batch in batches:
         got = expected_counts(_sequences(batch), model)
         sums = got if sums is None else tuple(a + b for a, b in zip(sums, got))
     if sums is not None:
         starts, moves, emits = sums
-        seen = np.flatnonzero(emits.sum(axis=1) > 0)
-        symbol = np.concatenate([seen, -1 - np.arange(k), [-1 - k]])
-        table = np.vstack([emits[seen], moves, starts[None, :]])
-        yield pa.RecordBatch.from_arrays([pa.array(symbol.astype(np.int64)), *[pa.array(np.ascontiguousarray(table[:, s])) for s in range(k)]], ["symbol", *[f"s{s}" for s in range(k)]])
+        table = np.vstack([emits, moves, starts[None, :]])
+        blocks = [table[at : at + BLOCK_SYMBOLS].astype("<f8").tobytes() for at in range(0, len(table), BLOCK_SYMBOLS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "sums"])
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """A block's sums over tasks, of which there is one a core."""
+    total = sum(np.frombuffer(x.as_py(), "<f8") for x in group["sums"])
+    return pa.table([group["block"][:1], pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
 
 
 def _forward(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -346,20 +356,13 @@ def frequent_words(counts: DataFrame, most: int) -> list:
 def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray, rounds: int) -> Model:
     """``rounds`` rounds over all rows of ``encoded(symbols)``."""
     sc, states = encoded.sparkSession.sparkContext, len(model.start)
-    columns = [f"s{s}" for s in range(states)]
-    schema = ", ".join(["symbol long", *[f"{c} double" for c in columns]])
     for _ in range(rounds):
         now = sc.broadcast(model)
-        sums = encoded.select("symbols").mapInArrow(lambda it, now=now: _expect(it, now), schema)
-        got = sums.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
-        symbol, table = got.column("symbol").to_numpy(), np.stack([got.column(c).to_numpy() for c in columns], axis=1)
-        emits, moves, starts = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros(states)
-        emits[symbol[symbol >= 0]] = table[symbol >= 0]
-        for s, row in zip(symbol[symbol < 0], table[symbol < 0]):
-            if s == -1 - states:
-                starts = row
-            else:
-                moves[-1 - s] = row
+        sums = encoded.select("symbols").mapInArrow(lambda it, now=now: _expect(it, now), SUMS)
+        got = sums.groupBy("block").applyInArrow(_summed, SUMS).toArrow().sort_by("block")
+        table = np.frombuffer(b"".join(x.as_py() for x in got["sums"]), "<f8").reshape(-1, states)
+        emits, moves, starts = np.split(table, [len(model.emit), len(model.emit) + states])
+        starts = starts[0]
         model = maximised(starts, moves, emits, unigram)
         now.unpersist()
     return model
@@ -428,10 +431,9 @@ def train_and_score(
         learn = encoded.filter("trains").select("symbols").coalesce(CORE_TASKS * sc.defaultParallelism)
         model = baum_welch(learn, model, unigram, sample_rounds + rounds)
 
-    # Rare words: one row per word and document, joined with the counts of all.
-    words = encoded.select("key", F.explode("rare").alias("word")).groupBy("key", "word").agg(F.count("*").alias("times"))
-    joined = words.join(counts, "word", "left")
-    rare = joined.groupBy("key").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1) * F.col("times")).alias("rare_log"), F.sum(F.when(F.col("n").isNull(), F.col("times")).otherwise(0)).alias("unknown"))
+    # Rare words are joined with the counts of all, and summed by document.
+    joined = encoded.select("key", F.explode("rare").alias("word")).join(counts, "word", "left")
+    rare = joined.groupBy("key").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_log"), F.count_if(F.col("n").isNull()).alias("unknown"))
     final = sc.broadcast(model)
     scores = encoded.select("key", "symbols").mapInArrow(lambda it: _forward(it, final), "key long, log_symbols double")
     rows = encoded.drop("symbols", "rare").join(scores, "key").join(rare, "key", "left")
