@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.scratch import Scratch
+from strandline.llm.spread import join_spread
 
 #: Hits up to this number (32 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_HITS = 100_000
@@ -84,13 +85,14 @@ def exact_dedup(spark: SparkSession, path: str, *, max_files: int | None = None,
     texts = docs.select("digest", "text").join(few(hits), "digest", "left_semi")
     mixed = scratch.save(texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("digest"), "collisions")
 
-    slim = docs.select("doc_id", "digest", "file", "row")
+    slim, total = docs.select("doc_id", "digest", "file", "row"), table.count()
+    sized = state.withColumn("copies", F.col("n"))
     if not mixed.isEmpty():
         clash = docs.join(mixed, "digest", "left_semi")
         groups = clash.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("n"))
         clash = clash.join(groups, ["digest", "text"]).select("doc_id", "digest", "file", "row", "keep", "n")
-        out = slim.join(mixed, "digest", "left_anti").join(state, "digest").select("doc_id", "digest", "file", "row", "keep", "n").unionByName(clash)
+        out = join_spread(slim.join(mixed, "digest", "left_anti"), sized, ["digest"], "copies", total).select("doc_id", "digest", "file", "row", "keep", "n").unionByName(clash)
     else:
-        out = slim.join(state, "digest")
+        out = join_spread(slim, sized, ["digest"], "copies", total)
     kept = (F.col("keep.file") == F.col("file")) & (F.col("keep.row") == F.col("row"))
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "digest")

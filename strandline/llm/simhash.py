@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from strandline.llm.graph import components
 from strandline.llm.scratch import Scratch
 from strandline.llm.similar import SHINGLE, SIMILARITY, similar_nodes
+from strandline.llm.spread import join_spread
 from strandline.llm.words import word_runs
 
 RADIUS = 3
@@ -151,12 +152,12 @@ def _groups(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS, bucket_r
     scratch = Scratch(docs.sparkSession, "simhash")
     slim = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     fps = scratch.save(slim.mapInArrow(lambda it: _fingerprints(it, shingle), slim.schema["doc_id"].dataType.simpleString().join(["doc_id ", ", text_key long, fp long"])), "fingerprints")
-    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "nodes")
     roots = components(hamming_links(nodes, scratch, radius, bucket_rows), scratch)
-    member = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
+    member = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first_id", "copies", F.coalesce("v", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id", "root")
-    return fps.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
+    named = member.join(least, "root").select("fp", "copies", "component_id", "root")
+    return join_spread(fps, named, ["fp"], "copies", fps.count()).select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
