@@ -77,7 +77,3 @@ class Scratch:
         for table in tables:
             at = jvm.org.apache.hadoop.fs.Path(table._strandline_path)
             at.getFileSystem(conf).delete(at, True)
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished plans, which it does only once the driver's garbage is collected."""
-        self.spark._jvm.System.gc()

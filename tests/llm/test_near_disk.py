@@ -2,13 +2,12 @@
 
 import os
 import random
-import time
 from glob import glob
 
 import pytest
 
 from strandline.llm import similar
-from strandline.llm.scratch import Scratch, made_within, shared_dir
+from strandline.llm.scratch import made_within, shared_dir
 from strandline.llm.simhash import one_of_each
 
 
@@ -53,24 +52,3 @@ def test_tables_left(spark, docs):
         assert left.count("members") == 1 and set(left) <= {"members", "edges", "small"} and len(left) <= 3
         got = {r.doc_id: r.root for r in groups.collect()}
     assert len(set(got.values())) == 30 and all(got[i] == got[i // 3 * 3] for i in range(90))
-
-
-def test_shuffles_released(spark, docs, monkeypatch):
-    """Shuffle files of finished plans go on release, but for the last ones that may still be held, and similar_nodes asks for it."""
-    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
-    shuffles = lambda: {os.path.basename(f).split("_")[1] for folder in folders for f in glob(f"{folder}/*/shuffle_*.data")}
-    before = shuffles()
-    with made_within():
-        scratch = Scratch(spark, "released")
-        for i in range(12):
-            scratch.save(spark.range(100).repartition(2, "id"), f"t{i}")
-        scratch.release()
-        for _ in range(100):
-            if len(shuffles() - before) <= 4:
-                break
-            time.sleep(0.1)
-        assert len(shuffles() - before) <= 4
-        calls = []
-        monkeypatch.setattr(Scratch, "release", lambda self: calls.append(self.path))
-        similar.similar_nodes(docs(list(enumerate(threes()))))
-        assert len(calls) == 5

@@ -136,6 +136,48 @@ def test_keys_of_every_pair():
                 assert len(list(similar.crossing_pairs(np.array([1, 2]), np.array([len(a), len(b)]), counts, 0.8))) == 1
 
 
+def test_first_common_key_of_every_pair():
+    """At the first key that a pair at the bound has in common, the smaller set's key leads and places rule nothing out."""
+    rng = np.random.default_rng(8)
+    for n in [*range(4, 60), 300, 2000]:
+        for m in {n, n + 1, int(n / 0.8 + 1e-9)}:
+            common = next((c for c in range(min(n, m) + 1) if similar.similar_sets(np.arange(n), np.concatenate([np.arange(c), np.arange(m - c) + 9999]), 0.8)), None)
+            if common is None:
+                continue
+            for _ in range(20):
+                h = np.unique(rng.integers(0, 2**63, n + m).astype(np.uint64))
+                sets = [np.sort(h[:n]), np.sort(np.concatenate([h[:common], h[n : n + m - common]]))]
+                sizes = np.array([len(s) for s in sets])
+                frequent = np.sort(rng.choice(h, rng.integers(0, len(h)), replace=False))
+                a, b = (similar.covering_keys(s, 0.8, frequent) for s in sets)
+                first = next(k for k in a if k in b)
+                pos = np.array([int(np.flatnonzero(k == first)[0]) for k in (a, b)])
+                lesser = int(sizes.argmin())
+                assert sizes[lesser] - pos[lesser] >= similar.least_common(2 * sizes[lesser], 0.8)
+                counts = np.frombuffer(b"".join(similar.profile(s) for s in sets), "u1").reshape(2, -1)
+                assert len(list(similar.crossing_pairs(np.array([1, 2]), sizes, counts, 0.8, pos))) == 1
+
+
+def test_pairs_of_a_template(spark, docs, monkeypatch):
+    """Texts of a passage of 300 words and 42 of their own are just under 0.8: pairs that are verified grow no faster than the texts."""
+    sent, save = {}, similar.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name in ("links", "apart"):
+            sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similar.Scratch, "save", counted)
+    for n in (50, 200):
+        rng = random.Random(6)
+        passage = [f"p{rng.randrange(10**9)}" for _ in range(300)]
+        texts = [" ".join([f"o{rng.randrange(10**9)}" for _ in range(42)] + passage) for _ in range(n)]
+        got = [r.root for r in similar.similar_nodes(docs(list(enumerate(texts)))).collect()]
+        assert len(set(got)) == n
+        assert sent["links"] + sent["apart"] <= 2 * n
+
+
 def test_empty_table_and_ids(spark, docs):
     assert keep_one(docs([])).count() == 0
     rows = [(None, "a b c"), (None, "A b  c"), (3, "a b c"), (4, None), (5, ""), (5, "")]
