@@ -9,9 +9,9 @@ block it plays. 2**m equispaced points hit an interval of length w at least
 w * 2**m - 1 times, so with 2**m at least twice the number of blocks every
 block is played, and any run of slots holds the sources in proportion.
 
-DataFrame operations only. Offsets in a stream come from two-level prefix sums
-(buckets of a source, then rows of a bucket), so a hot source is never in one
-task; slots and pieces join on (source, block), which spreads it evenly.
+DataFrame operations only. Offsets in a stream come from three-level prefix sums
+(runs of buckets of a source, buckets of a run, then rows of a bucket), so a hot
+source is never in one task: of 2**40 rows the largest window holds 2**20 sums; slots and pieces join on (source, block), which spreads it evenly.
 """
 
 from __future__ import annotations
@@ -55,13 +55,27 @@ def source_targets(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, repeat: i
     return by.withColumn("target", F.least(F.col("source_size") * float(repeat), F.col("level") * F.col("weight")).cast("double")).drop("level")
 
 
+def sums_before(sums: DataFrame, at: str, value: str, run: int = BUCKET_ROWS) -> DataFrame:
+    """``sums(source, at, value)`` -> ``(s, at, base)``: the values of the source before each ``at``.
+
+    In two levels, runs of ``run`` numbers and the numbers of a run. Null sources are one.
+    """
+    cut = sums.select("source", at, value, F.expr(f"{at} div {run}").alias("run"))
+    runs = cut.groupBy("source", "run").agg(F.sum(value).alias("held_run"))
+    ahead = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("source").alias("s"), F.col("run").alias("r"), F.coalesce(F.sum("held_run").over(ahead), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("source", "run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("base", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    joined = cut.join(runs, cut["source"].eqNullSafe(runs["s"]) & (cut["run"] == runs["r"]))
+    return joined.select("s", at, (F.col("ahead") + F.col("base")).alias("base"))
+
+
 def place_documents(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``at``: the words before a document in its source's shuffled stream."""
     buckets = F.greatest(F.ceil(F.lit(docs.count()) / bucket_rows), F.lit(1))
     docs = docs.withColumn("order", F.xxhash64("doc_id", F.lit("mixing"))).withColumn("bucket", F.pmod("order", buckets))
     sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+    sums = sums_before(sums, "bucket", "held", bucket_rows).withColumnRenamed("bucket", "b")
     within = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = docs.join(sums, docs["source"].eqNullSafe(sums["s"]) & (docs["bucket"] == sums["b"]))
@@ -85,11 +99,10 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     spans = spans.withColumn("c", F.explode(F.sequence(F.expr(f"lo div {chunk}"), F.expr(f"(hi - 1) div {chunk}"))))
     points = spans.repartition(F.col("c")).select("source", "blocks", F.explode(F.sequence(F.greatest("lo", F.col("c") * chunk), F.least("hi", (F.col("c") + 1) * chunk) - 1)).alias("x"))
     slot = F.conv(F.reverse(F.lpad(F.bin("x"), m, "0")), 2, 10).cast("long")
-    # Ranks per source, again in two levels: slots in equal ranges, then within a range.
+    # Ranks per source, again by levels: slots in equal ranges, then within a range.
     points = points.select("source", "blocks", slot.alias("slot")).withColumn("range", F.expr(f"slot div {chunk}"))
     held = points.groupBy("source", "range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    held = sums_before(held, "range", "n").withColumnRenamed("range", "r")
     ranked = points.withColumn("inner", F.row_number().over(Window.partitionBy("source", "range").orderBy("slot")) - 1)
     ranked = ranked.join(held, ranked["source"].eqNullSafe(held["s"]) & (ranked["range"] == held["r"]))
     return ranked.withColumn("block", F.col("base") + F.col("inner")).filter("block < blocks").select("slot", "source", "block")
