@@ -23,6 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Lets Spark delete a plan's shuffle files as soon as the plan has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders of the open ``made_within`` blocks.
 _open: list[list[Scratch]] = []
 
@@ -42,11 +45,12 @@ class Scratch:
     """A folder of parquet tables for one run of an operator.
 
     A saved table is read again from storage, so losing an executor never
-    makes Spark repeat what came before it.
+    makes Spark repeat what came before it. With ``clean`` the shuffle files of
+    a table's plan go once it is saved, and not when the driver's garbage is collected.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = with_workers(spark)
+    def __init__(self, spark: SparkSession, name: str, *, clean: bool = False) -> None:
+        self.spark, self.clean = with_workers(spark), clean
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         if _open:
@@ -62,7 +66,13 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         at = self.place(name)
-        df.write.parquet(at)
+        before = self.spark.conf.get(CLEANUP)
+        if self.clean:
+            self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._strandline_path = at
         return out

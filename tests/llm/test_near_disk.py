@@ -2,12 +2,13 @@
 
 import os
 import random
+import time
 from glob import glob
 
 import pytest
 
 from strandline.llm import similar
-from strandline.llm.scratch import made_within, shared_dir
+from strandline.llm.scratch import CLEANUP, Scratch, made_within, shared_dir
 from strandline.llm.simhash import one_of_each
 
 
@@ -52,3 +53,26 @@ def test_tables_left(spark, docs):
         assert left.count("members") == 1 and set(left) <= {"members", "edges", "small"} and len(left) <= 3
         got = {r.doc_id: r.root for r in groups.collect()}
     assert len(set(got.values())) == 30 and all(got[i] == got[i // 3 * 3] for i in range(90))
+
+
+def test_shuffles_go_once_saved(spark, docs):
+    """Shuffle files of a saved table's plan go at once where that is asked for, and the session's setting stays."""
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffles = lambda: {os.path.basename(f).split("_")[1] for folder in folders for f in glob(f"{folder}/*/shuffle_*.data")}
+    with made_within():
+        for clean, left in ((False, 6), (True, 0)):
+            before, scratch = shuffles(), Scratch(spark, "cleaned", clean=clean)
+            tables = [scratch.save(spark.range(100).repartition(2, "id"), f"t{i}") for i in range(6)]
+            for _ in range(50):
+                if len(shuffles() - before) <= left:
+                    break
+                time.sleep(0.1)
+            assert len(shuffles() - before) <= left and all(t.count() == 100 for t in tables)
+            assert spark.conf.get(CLEANUP) == "false"
+        made, save = [], Scratch.save
+        Scratch.save = lambda self, df, name: (made.append(self.clean), save(self, df, name))[1]
+        try:
+            similar.similar_nodes(docs(list(enumerate(threes()))))
+        finally:
+            Scratch.save = save
+        assert len(made) > 8 and all(made)
