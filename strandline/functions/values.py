@@ -32,19 +32,19 @@ def group_state(group: Column | str) -> Column:
 
 
 _HEADER = r"[ \t>]*(?:from|to|cc|bcc|subject|sent|date|time)[ \t]*:[^\n]*"
-#: Where a quoted message begins: two header lines or more, with a line of dashes before them if there is one, or "On ... wrote:".
+#: Where a quoted message begins: two header lines or more, with a line of dashes before them if there is one, or "On ... wrote:",
+#: on one line or two. A line before a whole "On ... wrote:" is text, whatever it begins with.
 REPLY = (
     r"(?im)^(?:[ \t>]*-+[ \t]*(?:original(?:[ \t]message)?|forwarded message|forwarded by[^\n]*?)?[ \t]*-+[ \t]*\n)?"
     rf"{_HEADER}(?:\n{_HEADER})+"
-    r"|^[ \t>]*on [^\n]{0,200}(?:\n[^\n]{0,100})?wrote[ \t]*:"
+    r"|^[ \t>]*on [^\n]{0,200}(?:\n(?![ \t>]*on (?!behalf of )[^\n]{0,200}wrote[ \t]*:)[^\n]{0,100})?wrote[ \t]*:"
 )
 
 
 def clean_mail(content: Column | str) -> Column:
     """The text before the first quoted reply; all of it if there is none."""
     content = F.col(content) if isinstance(content, str) else content
-    at = F.regexp_instr(content, F.lit(REPLY))
-    return F.when(at > 0, F.substring(content, F.lit(1), at - 1)).otherwise(content)
+    return F.split(content, REPLY, 2)[0]
 
 
 def mac_to_long(mac: Column | str) -> Column:

@@ -259,6 +259,14 @@ def test_mail(spark):
     assert mail_pipeline(df).build()["cleaned"].count() == len(quoted + whole)
 
 
+def test_mail_after_a_line_that_begins_with_on(spark):
+    intro = "\nOn Mon Jun 7, 2010 at 8:50 PM, X wrote:\n> q"
+    texts = ["a\nOn the whole." + intro, "a\nOn 75.164.212.188 we met." + intro, "\U0001f600 a" + intro, intro[1:], "a\nOn Mon Jun 7, X\non behalf of Y wrote:\n> q", "a\nOn Mon Jun 7,\nX wrote:\n> q", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    got = [r.c for r in df.select("i", values.clean_mail("content").alias("c")).orderBy("i").collect()]
+    assert got == ["a\nOn the whole.\n", "a\nOn 75.164.212.188 we met.\n", "\U0001f600 a\n", "", "a\n", "a\n", None, ""]
+
+
 def test_sent_mail_folder_and_address(spark):
     part = [("x", False), ("file", True)]
     df = spark.createDataFrame([(1, records.SENT_FOLDER, part), (2, "INBOX", part), (3, None, part)], "i int, folder string, parts array<struct<text: string, attachment: boolean>>")
