@@ -61,6 +61,24 @@ def window_task(df: DataFrame, unit: str, *aggs: Column, include_open: bool = Fa
     return out if include_open else closed_only(out)
 
 
+def windows_task(df: DataFrame, units: tuple[str, ...], *aggs: Column, include_open: bool = False) -> DataFrame:
+    """``window_task`` for several units in one pass: user_key, unit, win_begin, win_end and the aggregates.
+
+    What comes before is read and sorted once, not once for each unit, and no task holds all units side by side as one of a union does.
+    """
+    wall = local("ts", "tz")
+    begins = F.array(*[F.struct(F.lit(i).alias("_unit"), window_begin(wall, u).alias("win_begin")) for i, u in enumerate(units)])
+    rows = df.withColumn("_w", F.explode(begins)).withColumns({"_unit": F.col("_w._unit"), "win_begin": F.col("_w.win_begin")}).drop("_w")
+    out = rows.groupBy("user_key", "_unit", "win_begin").agg(*aggs)
+    if not include_open:
+        last = F.max("win_begin").over(Window.partitionBy("user_key", "_unit"))
+        out = out.withColumn("_last", last).filter("win_begin < _last").drop("_last")
+    ends = F.coalesce(*[F.when(F.col("_unit") == i, window_end(F.col("win_begin"), u)) for i, u in enumerate(units)])
+    unit = F.element_at(F.array(*[F.lit(u) for u in units]), F.col("_unit") + 1)
+    values = [c for c in out.columns if c not in ("user_key", "_unit", "win_begin")]
+    return out.select("user_key", unit.alias("unit"), "win_begin", ends.alias("win_end"), *values)
+
+
 def window_apply(df: DataFrame, unit: str, fn: Callable, schema: str, *, include_open: bool = False) -> DataFrame:
     """``fn`` (pandas frame of a window -> pandas frame) over each user's windows; ``schema`` holds user_key and win_begin."""
     windows = with_window(df, unit)

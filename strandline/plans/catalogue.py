@@ -47,12 +47,8 @@ def accurate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _gated(spark, sf_dir)
-    out = [windows.window_task(m, u, F.count("*").alias("records"), include_open=True).select("user_key", F.lit(u).alias("unit"), "win_begin", "win_end", "records") for u in ("minute", "hour", "day", "week", "month", "year")]
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    return _ntz(every)
+    units = ("minute", "hour", "day", "week", "month", "year")
+    return _ntz(windows.windows_task(_gated(spark, sf_dir), units, F.count("*").alias("records"), include_open=True))
 
 
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,12 +33,7 @@ def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zoned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for unit in ("hour", "day", "month"):
-        w = windows.window_task(_zoned(spark, sf_dir), unit, F.count("*").alias("records"))
-        w = w.select("user_key", F.lit(unit).alias("unit"), "win_begin", "win_end", "records")
-        out = w if out is None else out.unionByName(w)
-    return base._ntz(out)
+    return base._ntz(windows.windows_task(_zoned(spark, sf_dir), ("hour", "day", "month"), F.count("*").alias("records")))
 
 
 def first_zone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

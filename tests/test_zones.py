@@ -94,3 +94,16 @@ def test_summary_keeps_zone_and_accuracy(spark):
     assert {(r.tz, r.accuracy) for r in fixed.collect()} == {(NY, 5.0)}
     days = activity.daily_summary(fixed.withColumn("mode", F.col("rectified"))).orderBy("win_begin").collect()
     assert [(r.win_begin, r.episodes) for r in days] == [(at("2024-01-01 00:00:00"), 1)] and days[0].miles > 0.1 and days[0].active_s > 0
+
+
+@pytest.mark.parametrize("include_open", [True, False])
+def test_windows_of_several_units_in_one_pass(spark, include_open):
+    df = records.mobility(spark, "/root/testdata/sf0.001").withColumn("tz", F.when(F.col("k") % 2 == 0, "America/New_York").otherwise("Europe/Berlin"))
+    units = ("minute", "hour", "day", "week", "month", "year")
+    aggs = [F.count("*").alias("n"), F.min("ts").alias("first_ts")]
+    got = windows.windows_task(ordering.monotonic_gate(df), units, *aggs, include_open=include_open)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # One reading, and one sort for the gate, whatever the number of units.
+    assert plan.count("Scan parquet") == 1 and plan.count("Union") == 0
+    want = [(r.user_key, u, r.win_begin, r.win_end, r.n, r.first_ts) for u in units for r in windows.window_task(ordering.monotonic_gate(df), u, *aggs, include_open=include_open).collect()]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
