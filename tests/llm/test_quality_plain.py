@@ -210,3 +210,33 @@ def test_grams_of_long_texts(monkeypatch):
             for g, c in zip(*kneser_ney.counted_grams(text, table)):
                 got[int(g)] += int(c)
             assert +got == want
+
+
+@pytest.mark.parametrize("broadcast_grams", [2_000_000, 0])
+def test_every_character_counts_by_itself(spark, docs, broadcast_grams):
+    """More characters than 7 bits hold, some beyond the basic plane: those beyond the 126 most frequent were one symbol before."""
+    rng = random.Random(4)
+    alphabet = [chr(0x4E00 + i) for i in range(400)] + [chr(0x20000 + i) for i in range(60)]
+    texts = ["".join(rng.choice(alphabet[: 100 + 20 * i]) for _ in range(300)) for i in range(30)]
+    plain = PlainModel(texts, symbols=len(set("".join(texts))) + 2)
+    assert len(plain.known) > 300
+    chars, orders = kneser_ney.train(docs(list(enumerate(texts))), Scratch(spark, "kn"))
+    asked = [texts[3], texts[29], alphabet[299] * 9, alphabet[298] * 9, "neither"]
+    table = spark.createDataFrame(list(enumerate(asked)), "text_key long, text string")
+    got = {r.text_key: r.bits for r in kneser_ney.joined_bits(table, chars, orders, broadcast_grams).collect()}
+    for i, t in enumerate(asked):
+        assert math.isclose(got[i], plain.bits(t), rel_tol=1e-6)
+
+
+def test_pairs_where_characters_outnumber_symbols(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "WIDE", 8)
+    monkeypatch.setattr(kneser_ney, "PARTS", 8)
+    chars = list(range(0x4E00, 0x4E00 + 300))
+    table = kneser_ney.symbol_table(chars)
+    each = [tuple(kneser_ney.symbols(chr(c), table).tolist()) for c in chars]
+    assert len(set(each)) == 300 and [len(x) for x in each] == [1] * 246 + [2] * 54
+    assert all(2 <= x[0] < 248 if len(x) == 1 else min(x) >= 248 and max(x) < 256 for x in each)
+    text = "".join(chr(random.Random(1).choice(chars)) for _ in range(50)) + "x" + chr(chars[-1])
+    assert kneser_ney.symbols(text, table).tolist() == [s for c in text for s in kneser_ney.symbols(c, table).tolist()]
+    (keys,) = kneser_ney.gram_keys(text, table)
+    assert (keys & 255).tolist() == kneser_ney.symbols(text, table).tolist()
