@@ -16,7 +16,8 @@ own state on. So a worker's memory for states is bounded, whatever the lengths.
 
 Each document is encoded once, into a saved table. What reaches the driver has
 a size given by parameters, whatever the number of partitions: vocabulary x
-states numbers a round. Counts of rare words stay in Spark and are joined by
+(states - 1) numbers a round, as the expected counts of a symbol in all states sum
+to its count, which is known. Counts of rare words stay in Spark and are joined by
 word, summed per document.
 """
 
@@ -312,7 +313,10 @@ SUMS = "block int, sums binary"
 
 
 def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Expected counts of a task's documents, a row for each of emissions, moves and the start, in blocks of ``BLOCK_SYMBOLS`` rows."""
+    """Expected counts of a task's documents, a row for each of emissions, moves and the start, in blocks of ``BLOCK_SYMBOLS`` rows.
+
+    Emissions come without the last state's: a symbol's sum over the states is its number.
+    """
     model: Model = shared.value
     sums = None
     for batch in batches:
@@ -320,8 +324,7 @@ def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         sums = got if sums is None else tuple(a + b for a, b in zip(sums, got))
     if sums is not None:
         starts, moves, emits = sums
-        table = np.vstack([emits, moves, starts[None, :]])
-        blocks = [table[at : at + BLOCK_SYMBOLS].astype("<f8").tobytes() for at in range(0, len(table), BLOCK_SYMBOLS)]
+        blocks = [table[at : at + BLOCK_SYMBOLS].astype("<f8").tobytes() for table in (emits[:, :-1], np.vstack([moves, starts])) for at in range(0, len(table), BLOCK_SYMBOLS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "sums"])
 
 
@@ -353,17 +356,18 @@ def frequent_words(counts: DataFrame, most: int) -> list:
     return [] if least is None else sorted(counts.filter(step >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
 
 
-def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray, rounds: int) -> Model:
-    """``rounds`` rounds over all rows of ``encoded(symbols)``."""
+def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray, numbers: np.ndarray, rounds: int) -> Model:
+    """``rounds`` rounds over all rows of ``encoded(symbols)``, which hold each symbol ``numbers`` times."""
     sc, states = encoded.sparkSession.sparkContext, len(model.start)
     for _ in range(rounds):
         now = sc.broadcast(model)
         sums = encoded.select("symbols").mapInArrow(lambda it, now=now: _expect(it, now), SUMS)
         got = sums.groupBy("block").applyInArrow(_summed, SUMS).toArrow().sort_by("block")
-        table = np.frombuffer(b"".join(x.as_py() for x in got["sums"]), "<f8").reshape(-1, states)
-        emits, moves, starts = np.split(table, [len(model.emit), len(model.emit) + states])
-        starts = starts[0]
-        model = maximised(starts, moves, emits, unigram)
+        emits, moves, starts = np.split(np.frombuffer(b"".join(x.as_py() for x in got["sums"]), "<f8"), np.cumsum([len(numbers) * (states - 1), states * states]))
+        emits = emits.reshape(len(numbers), states - 1)
+        # Rounding may leave a little less than nothing.
+        last = np.maximum(numbers - emits.sum(axis=1), 0.0)
+        model = maximised(starts, moves.reshape(states, states), np.column_stack([emits, last]), unigram)
         now.unpersist()
     return model
 
@@ -408,6 +412,7 @@ def train_and_score(
     for r, word in zip(top, frequent):
         of_class[:, word_class(word)] -= r["n"], 1
     class_norm = of_class.sum(axis=0) + 1
+    numbers = np.concatenate([top_counts, of_class[0]])
     unigram = np.concatenate([top_counts + 1, class_norm])
     unigram /= unigram.sum()
 
@@ -429,7 +434,7 @@ def train_and_score(
     model = initial(unigram, states)
     if ends:
         learn = encoded.filter("trains").select("symbols").coalesce(CORE_TASKS * sc.defaultParallelism)
-        model = baum_welch(learn, model, unigram, sample_rounds + rounds)
+        model = baum_welch(learn, model, unigram, numbers, sample_rounds + rounds)
 
     # Rare words are joined with the counts of all, and summed by document.
     joined = encoded.select("key", F.explode("rare").alias("word")).join(counts, "word", "left")

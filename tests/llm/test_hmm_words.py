@@ -69,3 +69,24 @@ def test_scoring_keeps_one_block():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20e6
+
+
+def test_sums_leave_out_what_is_known(spark):
+    """A task sends no sums of the last state, and the rounds go as with all sums."""
+    rng = np.random.default_rng(4)
+    unigram, numbers = np.full(600, 1 / 600), np.zeros(600)
+    seqs = [rng.integers(0, 600, n).astype("<i4") for n in rng.integers(1, 60, 80)]
+    for s in seqs:
+        numbers += np.bincount(s, minlength=600)
+    for states in (1, 3):
+        start = hmm_lm.initial(unigram, states)
+        batch = pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in seqs], pa.binary())], ["symbols"])
+        (sent,) = hmm_lm._expect(iter([batch]), type("Shared", (), {"value": start}))
+        assert sum(len(x.as_py()) for x in sent["sums"]) == 8 * (600 * (states - 1) + states * states + states)
+        want = start
+        for _ in range(4):
+            want = hmm_lm.maximised(*hmm_lm.expected_counts(seqs, want), unigram)
+        table = spark.createDataFrame([(bytes(s.tobytes()),) for s in seqs], "symbols binary").repartition(3)
+        got = hmm_lm.baum_welch(table, start, unigram, numbers, 4)
+        for a, b in ((got.start, want.start), (got.move, want.move), (got.emit, want.emit)):
+            assert np.allclose(a, b, rtol=1e-9)
